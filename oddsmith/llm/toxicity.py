@@ -6,8 +6,8 @@ words; so `idiot` is near `idXiot` and `i.d.i.o.t`. Words are tokens without
 their symbols, lower-cased, and runs of single characters between spaces, joined.
 Landmarks are words of the labelled sample that mark the label (chi-square). A
 text's features are its words' largest kernel values per landmark (values below
-FLOOR count as none), mapped by the landmarks' kernel matrix to the power -1/2
-(Nyström), and the largest value of all. A linear SVM is fitted to them (hinge
+FLOOR count as none) and these to the power SHARP (a product of kernels is a
+kernel), each mapped by the landmarks' kernel matrix to the power -1/2 (Nyström). A linear SVM is fitted to them (hinge
 loss, full-batch subgradient), its margins turned to scores by a logistic fit.
 
 The fit sees at most about max_pos + max_neg labelled rows, taken by a hash of
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from oddsmith.llm.common import chunks
 
-DECAY, FLOOR, PIECE, ORDER = 0.7, 0.5, 24, 3
-_CACHE = 200_000
+DECAY, FLOOR, PIECE, ORDER, SHARP = 0.7, 0.6, 24, 3, 6
+_CACHE = 300_000
 _strip = re.compile(r"[\W_]+").sub
 _spelled = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)").findall
 
@@ -73,23 +73,38 @@ class Landmarks:
         codes = np.array(words, f"U{PIECE}").view(np.int32).reshape(len(words), PIECE)
         sizes = np.array([len(w) for w in words])
         mask = np.bitwise_or.reduce(np.where(codes > 0, np.int64(1) << _bit(codes), 0), 1)
-        own = np.zeros(len(words))
-        for k, code in enumerate(self.codes):
+        pairs = []
+        for k, bits in enumerate(self.bits):
             at = np.arange(len(words))
             if self.floor:
                 subset = np.zeros(len(words), np.int64)
-                for place, b in enumerate(self.bits[k].tolist()):
+                for place, b in enumerate(bits.tolist()):
                     subset |= (mask >> b & 1) << place
                 at = np.flatnonzero(self.reach[k][subset] >= self.floor)
-            for n in np.unique(sizes[at]):
-                for part in np.array_split(of := at[sizes[at] == n], len(of) // 4000 + 1):
-                    a = codes[part, :n].T
-                    if (own[part] == 0).any():
-                        own[part] = _gapped((a[:, None] == a[None]).astype(np.float32))
-                    out[part, k] = _gapped((a[:, None] == code[None, :, None]).astype(np.float32)) / np.sqrt(own[part] * self.own[k])
+            pairs.append(np.stack([at, np.full(len(at), k)]))
+        of, to = np.concatenate(pairs, 1)
+        own = np.zeros(len(words))
+        some = np.unique(of)
+        for n in np.unique(sizes[some]):
+            for part in _parts(some[sizes[some] == n]):
+                a = codes[part, :n].T
+                own[part] = _gapped((a[:, None] == a[None]).astype(np.float32))
+        lengths = np.array([len(c) for c in self.codes])
+        shape = sizes[of] * 100 + lengths[to]
+        for both in np.unique(shape):
+            for part in _parts(np.flatnonzero(shape == both)):
+                a = codes[of[part], : both // 100].T
+                b = np.stack([self.codes[k] for k in to[part]], 1)
+                raw = _gapped((a[:, None] == b[None]).astype(np.float32))
+                out[of[part], to[part]] = raw / np.sqrt(own[of[part]] * np.array(self.own)[to[part]])
         return out
 
 
+def _parts(rows: np.ndarray, most: int = 2000) -> list[np.ndarray]:
+    """So large that the arrays of a part stay in the cache."""
+    return np.array_split(rows, len(rows) // most + 1)
+
+
 def _bit(codes: np.ndarray) -> np.ndarray:
     """Of each character, one of 62 bits; a to z have their own."""
     return np.where((codes >= 97) & (codes < 123), codes - 97, 26 + codes % 36).astype(np.int64)
@@ -176,10 +191,10 @@ class Pooler:
 
 
 def _features(pooled: np.ndarray, root: np.ndarray) -> np.ndarray:
-    return np.hstack([pooled @ root, pooled.max(1, keepdims=True) * 2, np.ones((len(pooled), 1))])
+    return np.hstack([pooled @ root, pooled**SHARP @ root, np.ones((len(pooled), 1))])
 
 
-def train(labelled: DataFrame, text: str, label: str, *, max_pos: int = 1500, max_neg: int = 3000, most_landmarks: int = 24, seed: int = 5) -> dict:
+def train(labelled: DataFrame, text: str, label: str, *, max_pos: int = 1500, max_neg: int = 3000, most_landmarks: int = 64, seed: int = 5) -> dict:
     """The model, fitted on a bounded sample of rows with label 0 or 1."""
     known = labelled.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"))
     n = dict(known.groupBy("y").count().collect())
@@ -202,7 +217,7 @@ def train(labelled: DataFrame, text: str, label: str, *, max_pos: int = 1500, ma
         return (p - q) ** 2 / (m * (1 - m) * (1 / a + 1 / b)) if p > q and m < 1 else 0.0
 
     ranked = sorted(((chi(w), w) for w, c in pos.items() if c >= 2), key=lambda x: (-x[0], x[1]))
-    least = max(10.0, 0.25 * ranked[0][0]) if ranked else 0
+    least = max(10.0, 0.03 * ranked[0][0]) if ranked else 0
     landmarks = [w for c, w in ranked[:most_landmarks] if c >= least]
     if not landmarks:
         return {"landmarks": [], "base": float(rate)}
@@ -228,6 +243,9 @@ def train(labelled: DataFrame, text: str, label: str, *, max_pos: int = 1500, ma
     return {"landmarks": landmarks, "root": root, "w": mean, "slope": float(slope), "bias": float(bias), "base": float(rate)}
 
 
+_kept: dict[str, Pooler] = {}
+
+
 def score(docs: DataFrame, key: Column, text: Column, model: dict) -> DataFrame:
     """(key, score) of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -236,7 +254,11 @@ def score(docs: DataFrame, key: Column, text: Column, model: dict) -> DataFrame:
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        pooler = Pooler(m["landmarks"])
+        name = " ".join(m["landmarks"])
+        if name not in _kept:  # values of words serve later tasks of this Python worker too
+            _kept.clear()
+            _kept[name] = Pooler(m["landmarks"])
+        pooler = _kept[name]
         for batch in batches:
             for a, b, texts in chunks(batch, 1, 2_000_000):
                 if m["landmarks"]:
