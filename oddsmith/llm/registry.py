@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import decontaminate, langid, licenses, linededup, mixing, repeats, toxicity
+from oddsmith.llm import decontaminate, jaccard, langid, licenses, linededup, mixing, repeats, toxicity
 from oddsmith.llm.common import id_hash_bucket, table
 
 #: Target shares of output characters; all other sources share REST.
@@ -55,7 +55,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op4_line_dedup, op5_toxicity, op7_decontaminate, op8_quality_rules, op9_language_id)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), size=3, pct=90)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op4_line_dedup, op5_toxicity, op7_decontaminate, op8_quality_rules, op9_language_id, op10_ngram_jaccard)}
 
 _shares = ", ".join(f"('{k}', {v})" for k, v in SHARES.items())
 _sql_line = r"trim(regexp_replace(x, '[^\p{L}\p{N}]+', ' ', 'g'))"
