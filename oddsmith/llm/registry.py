@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import decontaminate, jaccard, langid, licenses, linededup, mixing, repeats, toxicity
+from oddsmith.llm import decontaminate, jaccard, langid, licenses, linededup, mixing, repeats, toxicity, warc
 from oddsmith.llm.common import id_hash_bucket, table
 
 #: Target shares of output characters; all other sources share REST.
@@ -36,6 +36,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(spark, warc.write(table(spark, sf_dir, "pages")))
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.find(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))
@@ -59,7 +64,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), size=3, pct=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op4_line_dedup, op5_toxicity, op7_decontaminate, op8_quality_rules, op9_language_id, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op4_line_dedup, op5_toxicity, op6_warc, op7_decontaminate, op8_quality_rules, op9_language_id, op10_ngram_jaccard)}
 
 _shares = ", ".join(f"('{k}', {v})" for k, v in SHARES.items())
 _sql_line = r"trim(regexp_replace(x, '[^\p{L}\p{N}]+', ' ', 'g'))"
@@ -93,4 +98,11 @@ boiler AS (SELECT trim(raw) AS line, min(doc_id) AS first_id FROM lines WHERE le
 marked AS (SELECT doc_id, raw, pos, line IS NOT NULL AND doc_id <> first_id AS gone FROM lines LEFT JOIN boiler ON trim(raw) = line),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS body FROM marked GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(body) END AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT digest, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n::BIGINT AS payload_bytes, p.digest AS payload_digest,
+CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest AND n >= 100""",
 }
