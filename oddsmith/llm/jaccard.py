@@ -38,12 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm.common import WORD, chunks, dropped, written
+from oddsmith.llm.bitmap import bitmap, marked
+from oddsmith.llm.common import WORD, chunks, written
 from oddsmith.llm.components import components
 
 _words = re.compile(WORD.encode()).findall
 _CHUNK = 2_000_000
-SMALL, LEADER_ROUNDS, BITMAPS = 48, 3, 2048
+SMALL, LEADER_ROUNDS, BITS = 48, 3, 26
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -144,26 +145,18 @@ def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, size: int,
     """The pairs (u, v) that link."""
     spark = docs.sparkSession
     ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    slot = F.pmod(F.xxhash64("id"), F.lit(BITMAPS * 32768))
-    maps = ids.groupBy(F.floor(slot / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m"))
-    marked = bytearray(BITMAPS * 4096)
-    for r in maps.collect():  # BITMAPS rows of 4 KiB at most, whatever the pairs
-        marked[r["k"] * 4096 : (r["k"] + 1) * 4096] = r["m"]
-    sent = spark.sparkContext.broadcast(bytes(marked))
+    sent = bitmap(ids.select(F.xxhash64("id").alias("slot")), "slot", BITS)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, bits = Shingler(size), np.frombuffer(sent.value, np.uint8)
+        shingle = Shingler(size)
         for batch in batches:
-            place = np.asarray(batch.column(2))
-            wanted = np.flatnonzero(bits[place >> 3] >> (place & 7) & 1)
+            wanted = np.flatnonzero(marked(sent.value, np.asarray(batch.column(2))))
             for part in np.array_split(wanted, len(wanted) // 500 + 1):
                 if len(part):
                     some = batch.take(pa.array(part))
                     yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle(t).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    # bit positions count from 0 for slots that are a multiple of the bitmap's size plus 1
-    rows = rows.select("id", "text", (F.floor(slot / 32768) * 32768 + F.bitmap_bit_position(slot)).alias("slot"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).withColumn("slot", F.xxhash64("id"))
     sets = rows.where("id is not null").mapInArrow(make, "id long, set binary").join(ids, "id", "left_semi")
     sided = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("s")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("t")), "v").select("u", "v", "s", "t")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import decontaminate, jaccard, langid, licenses, linededup, mixing, repeats, toxicity, warc
+from oddsmith.llm import decontaminate, jaccard, langid, licenses, linededup, mixing, repeats, substrings, toxicity, warc
 from oddsmith.llm.common import id_hash_bucket, table
 
 #: Target shares of output characters; all other sources share REST.
@@ -23,6 +23,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("notice_ids", F.array_join("notice_ids", ","))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup(table(spark, sf_dir, "documents"), min_sites=MIN_SITES, min_chars=MIN_CHARS)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -64,7 +68,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), size=3, pct=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op4_line_dedup, op5_toxicity, op6_warc, op7_decontaminate, op8_quality_rules, op9_language_id, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_substring_dedup, op4_line_dedup, op5_toxicity, op6_warc, op7_decontaminate, op8_quality_rules, op9_language_id, op10_ngram_jaccard)}
 
 _shares = ", ".join(f"('{k}', {v})" for k, v in SHARES.items())
 _sql_line = r"trim(regexp_replace(x, '[^\p{L}\p{N}]+', ' ', 'g'))"
