@@ -105,30 +105,53 @@ def _halves(words: list[str]) -> list[tuple[int, set]]:
     return out
 
 
-def find(docs: DataFrame, key: Column, text: Column, items: DataFrame, item_key: Column, item_text: Column, *, share: float = 0.5, overlap: float = 0.5, shard_items: int = 4096, shard_terms: int = 100_000) -> DataFrame:
-    """(key, item, bm25, question, answer): the items that each text holds."""
-    spark = docs.sparkSession
-    rows = docs.select(key.alias("key"), text.alias("text")).where(F.col("text").isNotNull())
-    kind = rows.schema["key"].dataType.simpleString()
-    tests = items.select(item_key.alias("item"), item_text.alias("text")).where(F.col("text").isNotNull())
-    item_kind = tests.schema["item"].dataType.simpleString()
-    schema = f"key {kind}, item {item_kind}, bm25 double, question double, answer double"
-
-    # document frequencies are those of all items, also when shards are many
-    held = [(r["item"], w) for r in tests.toLocalIterator() if (w := _terms(r["text"].lower()))]
-    if not held:
-        return spark.createDataFrame([], schema)
+def indexes(items: DataFrame, key: Column, text: Column, *, share: float = 0.5, shard_items: int = 4096, shard_terms: int = 100_000, most_items: int = 1_000_000) -> Iterator[Index]:
+    """The items' index, a shard at a time. A benchmark of over most_items items is refused."""
+    tests = items.select(key.alias("item"), text.alias("text")).where(F.col("text").isNotNull())
+    held = []
+    for r in tests.toLocalIterator():
+        if words := _terms(r["text"].lower()):
+            held.append((r["item"], words))
+        if len(held) > most_items:
+            raise ValueError(f"more than {most_items} test items")
+    # document frequencies and lengths are those of all items, also when shards are many
     df = Counter(t for _, w in held for t in set(w))
     idf = {t: float(np.log(1 + (len(held) - n + 0.5) / (n + 0.5))) for t, n in df.items()}
-    mean = sum(len(w) for _, w in held) / len(held)
-    found = None
+    mean = sum(len(w) for _, w in held) / max(1, len(held))
     for shard in _shards(held, shard_items, shard_terms):
-        sent = spark.sparkContext.broadcast(Index(shard, idf, mean, share))
-        part = rows.mapInArrow(_searcher(sent, overlap), schema)
+        yield Index(shard, idf, mean, share)
+
+
+def find(docs: DataFrame, key: Column, text: Column, items: DataFrame, item_key: Column, item_text: Column, *, overlap: float = 0.5, **index) -> DataFrame:
+    """(key, item, bm25, question, answer): the items that each text holds."""
+    rows = docs.select(key.alias("key"), text.alias("text")).where(F.col("text").isNotNull())
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, item {items.select(item_key.alias('item')).schema['item'].dataType.simpleString()}, bm25 double, question double, answer double"
+    found = None
+    for shard in indexes(items, item_key, item_text, **index):
+        part = rows.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(shard), overlap), schema)
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], schema)
     return found.groupBy("key", "item").agg(*(F.max(c).alias(c) for c in ("bm25", "question", "answer")))
 
 
+def clean(docs: DataFrame, text: str, items: DataFrame, item_key: Column, item_text: Column, *, overlap: float = 0.5, **index) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns."""
+    at = docs.columns.index(text)
+    for shard in indexes(items, item_key, item_text, **index):
+        docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(shard), overlap, at), docs.schema)
+    return docs
+
+
+def _filter(sent, overlap: float, at: int):
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        for batch in batches:
+            yield batch.filter(pa.array([not (t.is_valid and index.matches(_terms(t.as_py().lower()), overlap)) for t in batch.column(at)], pa.bool_()))
+
+    return passing
+
+
 def _shards(held: list, most: int, most_terms: int) -> Iterator[list]:
     shard, terms = [], 0
     for item in sorted(held, key=lambda x: len(x[1])):
@@ -137,7 +160,8 @@ def _shards(held: list, most: int, most_terms: int) -> Iterator[list]:
             shard, terms = [], 0
         shard.append(item)
         terms += len(item[1])
-    yield shard
+    if shard:
+        yield shard
 
 
 def _searcher(sent, overlap: float):

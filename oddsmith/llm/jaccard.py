@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmith.llm.bitmap import bitmap, marked
@@ -212,3 +212,12 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
     labels = classes.join(tree, "node", "left").select("n", "a", "b", F.coalesce("least", "node").alias("class"))
     out = ready.select("id", "n", "a", "b").join(labels, ["n", "a", "b"], "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("class", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, pct: int = 80) -> DataFrame:
+    """The rows of docs but near copies: of each component, that with the smallest id; rows that repeat id and text stay once."""
+    found = join(docs, key=key, text=text, size=size, pct=pct)
+    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
+    once = Window.partitionBy(key, "__text").orderBy("__text")
+    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi").withColumn("__text", F.xxhash64(text))
+    return rows.withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row", "__text")

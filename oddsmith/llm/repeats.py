@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -100,20 +101,38 @@ def repeats(tokens: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarr
     return covered, longest
 
 
-def score(docs: DataFrame, key: Column, text: Column, *, window: int = 8, min_words: int = 20, max_repeated_pct: int = 30, max_longest_pct: int = 20) -> DataFrame:
+@dataclass(frozen=True)
+class _Limits:
+    min_words: int = 20
+    max_repeated_pct: int = 30
+    max_longest_pct: int = 20
+
+    def pass_(self, n: np.ndarray, covered: np.ndarray, longest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which texts fail on words or repeated part, and which pass all rules."""
+        failed = (n < self.min_words) | (100 * covered > self.max_repeated_pct * n)
+        return failed, ~failed & (100 * longest <= self.max_longest_pct * n)
+
+
+def _measure(words: list[list[str]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: words, words in repeats, words of the longest repeat."""
+    ids: dict[str, int] = {}
+    covered, longest = repeats([np.fromiter((ids.setdefault(w, len(ids)) for w in ws), np.int64, len(ws)) for ws in words], window)
+    return np.array([len(w) for w in words], np.int64), covered, longest
+
+
+def score(docs: DataFrame, key: Column, text: Column, *, window: int = 8, **rules) -> DataFrame:
     """(key, COLUMNS) of each row; kept: the rules' verdict."""
+    limits = _Limits(**rules)
     rows = docs.select(key.alias("key"), text.alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in chunks(batch, 1, _CHUNK):
-                ids: dict[str, int] = {}
                 words = [_words(t) if t else [] for t in texts]
-                covered, longest = repeats([np.fromiter((ids.setdefault(w, len(ids)) for w in ws), np.int64, len(ws)) for ws in words], window)
-                n = np.array([len(w) for w in words], np.int64)
+                n, covered, longest = _measure(words, window)
                 lines = [[x for x in t.split("\n") if x.strip(_BLANK)] if t else [] for t in texts]
-                failed = (n < min_words) | (100 * covered > max_repeated_pct * n)
+                failed, kept = limits.pass_(n, covered, longest)
                 out = [
                     n,
                     np.array([sum(map(len, w)) for w in words], np.int64),
@@ -122,8 +141,22 @@ def score(docs: DataFrame, key: Column, text: Column, *, window: int = 8, min_wo
                     covered,
                     longest,
                     failed,
-                    ~failed & (100 * longest <= max_longest_pct * n),
+                    kept,
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, out)], names=["key", *(c.split()[0] for c in COLUMNS.split(", "))])
 
     return rows.mapInArrow(rate, f"key {kind}, {COLUMNS}")
+
+
+def keep(docs: DataFrame, text: str = "text", **rules) -> DataFrame:
+    """The rows of docs whose text passes the rules, with all their columns."""
+    at = docs.columns.index(text)
+    window, limits = rules.pop("window", 8), _Limits(**rules)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in chunks(batch, at, _CHUNK):
+                n, covered, longest = _measure([_words(t) if t else [] for t in texts], window)
+                yield batch.slice(a, b - a).filter(pa.array(limits.pass_(n, covered, longest)[1]))
+
+    return docs.mapInArrow(passing, docs.schema)
