@@ -15,8 +15,9 @@ LENGTH bytes that hold it. So
    measured; along the text, matching statistics follow from the last sampled
    ones (one byte less at each step). Suffixes that match for LENGTH bytes or
    more form intervals of the index; all but the earliest of each are marked.
-   An anchor with over `most_contexts` contexts would fill a task: there, hashes
-   (128 bits) of the strings are grouped instead, which has no hot key.
+   Of an anchor with over INDEXED contexts, hashes (128 bits) of the strings are
+   grouped instead: in the task, or, as over `most_contexts` would fill one, by
+   Spark, which has no hot key then.
 
 Spans are united per document and cut out. Equality of anchors and contexts is
 judged by 128 bits of hashes.
@@ -40,7 +41,8 @@ from oddsmith.llm.bitmap import bitmap, marked
 from oddsmith.llm.common import written
 
 LENGTH, K = 100, 32
-SEGMENT, _CHUNK = 1 << 20, 1 << 20
+INDEXED = 4000
+SEGMENT, _CHUNK = 1 << 20, 1 << 19
 _REACH = LENGTH - K  # an anchor's distance from the start of a string that holds it, at most
 _random = np.random.default_rng(20)
 _VALUE = _random.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -240,8 +242,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for r in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
-            if size >= 1_500_000 and r[0] != held[-1][0]:
+        for r in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
+            if held and r[0] != held[-1][0] and (size >= 400_000 or r[4] > INDEXED):
                 yield from _spans(held)
                 held, size = [], 0
             held.append(r)
@@ -251,6 +253,9 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if len(rows) > INDEXED and rows[0][0] == rows[-1][0]:
+        yield from _grouped(rows)
+        return
     at = repeated([r[3] for r in rows], *([r[j] for r in rows] for j in range(3)))
     if not len(at):
         return
@@ -264,27 +269,43 @@ def _spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([ids, pa.array(first + shift), pa.array(last + shift + LENGTH)], names=["id", "lo", "hi"])
 
 
+def _hashed(ids: np.ndarray, los: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Two hashes, id and place of each string of LENGTH bytes of the contexts."""
+    sizes = np.array([len(c) for c in contexts])
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    n = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    start = (np.cumsum(sizes) - sizes)[owner] + inner
+    return *(Hashes(data, w).of(start, start + LENGTH).view(np.int64) for w in (0, 1)), ids[owner], los[owner] + inner
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, id, lo): hashes of each string of LENGTH bytes of each context."""
     for batch in batches:
         for part in range(0, batch.num_rows, 2000):
             rows = batch.slice(part, 2000)
-            contexts = rows.column(3).to_pylist()
-            sizes = np.array([len(c) for c in contexts])
-            data = np.frombuffer(b"".join(contexts), np.uint8)
-            ends = np.cumsum(sizes)
-            n = sizes - LENGTH + 1
-            owner = np.repeat(np.arange(len(n)), n)
-            inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            start = (ends - sizes)[owner] + inner
-            h = [_signed(Hashes(data, w).of(start, start + LENGTH)) for w in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*h, rows.column(1).take(pa.array(owner)), pa.array(np.asarray(rows.column(2))[owner] + inner)], names=["a", "b", "id", "lo"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _hashed(np.asarray(rows.column(1)), np.asarray(rows.column(2)), rows.column(3).to_pylist()))], names=["a", "b", "id", "lo"])
+
+
+def _grouped(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """As _spans, of one anchor's contexts that are too many for a suffix array."""
+    parts = [_hashed(np.array([r[1] for r in some]), np.array([r[2] for r in some]), [r[3] for r in some]) for some in (rows[k : k + 2000] for k in range(0, len(rows), 2000))]
+    a, b, ids, lo = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.lexsort([lo, ids, b, a])
+    a, b, ids, lo = a[by], b[by], ids[by], lo[by]
+    first = np.maximum.accumulate(np.where(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])], np.arange(len(a)), 0))
+    again = (ids != ids[first]) | (lo != lo[first])
+    yield pa.RecordBatch.from_arrays([pa.array(ids[again]), pa.array(lo[again]), pa.array(lo[again] + LENGTH)], names=["id", "lo", "hi"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
+        done, out = 0, []
         for t, spans in zip(batch.column(1), batch.column(2), strict=True):
+            if len(out) == 500:
+                yield _result(batch, done, out)
+                done, out = done + 500, []
             data = t.as_buffer().to_pybytes() if t.is_valid else b""
             keep, at, gone = [], 0, []
             if spans.is_valid:
@@ -300,12 +321,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep.append(data[at:])
             rest = b"".join(keep)
             out.append((len(data), len(data) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest))
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield _result(batch, done, out)
+
+
+def _result(batch: pa.RecordBatch, start: int, out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) or [()] * 5
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    columns = [batch.column(0).slice(start, len(out)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most_contexts: int = 2000, bits: int = 27) -> DataFrame:
+def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most_contexts: int = 50_000, bits: int = 27) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row; kept: the remaining bytes."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text).alias("text"))
     counted = rows.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -320,7 +346,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most_cont
     texts = withbytes.drop("hi").join(reps, ["h", "c", "id", "lo"]).select("h", "c", "id", "lo", "bytes", "contexts").dropDuplicates(["h", "c", "id", "lo"])
     texts = written(texts, "texts")
     spans = "id long, lo long, hi long"
-    parts = [whole, texts.where(F.col("contexts") <= most_contexts).drop("c", "contexts").repartition("h").sortWithinPartitions("h", "id", "lo").mapInArrow(_index, spans)]
+    parts = [whole, texts.where(F.col("contexts") <= most_contexts).drop("c").repartition("h").sortWithinPartitions("h", "id", "lo").mapInArrow(_index, spans)]
     hot = texts.where(F.col("contexts") > most_contexts).drop("c", "contexts").mapInArrow(_strings, "a long, b long, id long, lo long")
     earliest = hot.groupBy("a", "b").agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = hot.join(earliest, ["a", "b"]).where((F.col("id") != F.col("first.id")) | (F.col("lo") != F.col("first.lo")))
