@@ -44,7 +44,7 @@ from oddsmith.llm.components import components
 
 _words = re.compile(WORD.encode()).findall
 _CHUNK = 2_000_000
-SMALL, LEADER_ROUNDS, BITS = 48, 3, 26
+SMALL, LEADER_ROUNDS, BITS = 48, 1, 26
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
