@@ -42,15 +42,21 @@ class Index:
         self.ids = [k for k, _ in items]
         self.words = [w for _, w in items]
         self.terms = {t: i for i, t in enumerate(dict.fromkeys(t for w in self.words for t in w))}
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+        # per block, the place of each term among the block's own (0: none) and the impacts of those, a column an item
+        self.place = np.zeros((-(-len(items) // block), len(self.terms)), np.int32)
+        self.impacts = []
         self.need = np.zeros(len(items))
         self.block = block
         self.tops = np.zeros((len(self.terms), -(-len(items) // block)), np.float32)
+        for b, start in enumerate(range(0, len(items), block)):
+            own = {self.terms[t] for w in self.words[start : start + block] for t in w}
+            self.place[b, sorted(own)] = np.arange(1, len(own) + 1)
+            self.impacts.append(np.zeros((len(own) + 1, len(self.words[start : start + block]))))
         for i, w in enumerate(self.words):
             for t, tf in Counter(w).items():
                 impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
                 k = self.terms[t]
-                self.postings[k].append((i, impact))
+                self.impacts[i // block][self.place[i // block, k], i % block] = impact
                 self.tops[k, i // block] = max(self.tops[k, i // block], impact * (1 + 1e-6))
                 self.need[i] += share * impact
         self.least = np.minimum.reduceat(self.need, np.arange(0, len(items), block)) if items else np.zeros(0)
@@ -75,16 +81,16 @@ class Index:
             blocks = np.flatnonzero(self.tops[part].sum(0) >= self.least)
             if not len(blocks):
                 continue
-            live, scores = set(blocks.tolist()), Counter()
-            for k in part.tolist():
-                for i, impact in self.postings[k]:
-                    if i // self.block in live:
-                        scores[i] += impact
+            hits = []
+            for b in blocks.tolist():
+                scores = self.impacts[b][self.place[b, part]].sum(0)
+                at = np.flatnonzero(scores >= self.need[b * self.block :][: len(scores)] - 1e-9)
+                hits += zip((at + b * self.block).tolist(), scores[at].tolist(), strict=True)
+            if not hits:
+                continue
             here = words[start : start + self.window]
             grams: dict[int, set] = {}
-            for i, s in scores.items():
-                if s < self.need[i] - 1e-9:
-                    continue
+            for i, s in hits:
                 shares = []
                 for size, half in self.halves[i]:
                     if size not in grams:
