@@ -37,7 +37,7 @@ K1, B = 1.2, 0.75
 class Index:
     """BM25 impacts of a shard of items, by blocks."""
 
-    def __init__(self, items: list[tuple[object, list[str]]], idf: dict[str, float], mean: float, share: float, block: int = 32):
+    def __init__(self, items: list[tuple[object, list[str]]], idf: dict[str, float], mean: float, share: float, block: int = 4):
         items = sorted(items, key=lambda x: len(x[1]))
         self.ids = [k for k, _ in items]
         self.words = [w for _, w in items]
@@ -111,7 +111,7 @@ def _halves(words: list[str]) -> list[tuple[int, set]]:
     return out
 
 
-def indexes(items: DataFrame, key: Column, text: Column, *, share: float = 0.5, shard_items: int = 4096, shard_terms: int = 100_000, most_items: int = 1_000_000) -> Iterator[Index]:
+def indexes(items: DataFrame, key: Column, text: Column, *, share: float = 0.6, shard_items: int = 1024, shard_terms: int = 30_000, most_items: int = 1_000_000) -> Iterator[Index]:
     """The items' index, a shard at a time. A benchmark of over most_items items is refused."""
     tests = items.select(key.alias("item"), text.alias("text")).where(F.col("text").isNotNull())
     held = []
