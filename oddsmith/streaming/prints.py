@@ -53,5 +53,5 @@ def stream_tumbling_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"stream_dedup": stream_dedup, "stream_tumbling_volume": stream_tumbling_volume}
 ORACLE_SQL = {
     "stream_dedup": "SELECT DISTINCT event_id, user_id, event_type FROM events",
-    "stream_tumbling_volume": "SELECT floor(epoch(ts))::BIGINT // 3600 * 3600 AS bucket, event_type, count(*) AS n, sum(1 + event_id % 10)::BIGINT AS volume FROM events GROUP BY ALL HAVING bucket + 3600 <= (SELECT epoch(max(ts)) - 3600 FROM events)",
+    "stream_tumbling_volume": "SELECT * FROM (SELECT floor(epoch(ts))::BIGINT // 3600 * 3600 AS bucket, event_type, count(*) AS n, sum(1 + event_id % 10)::BIGINT AS volume FROM events GROUP BY 1, 2) WHERE bucket + 3600 <= (SELECT epoch(max(ts)) - 3600 FROM events)",
 }
