@@ -39,8 +39,12 @@ READ_COLUMNS = "payload_bytes long, payload_digest string, record_type string, r
 
 def dictionary(pages: DataFrame, payload: str, *, samples: int = 400, sample_bytes: int = 8_192, size: int = 65_536) -> bytes:
     """A dictionary from at most `samples` payloads, those with the smallest hashes; of each, at most sample_bytes."""
-    found = pages.where(F.length(payload) > 0).select(F.xxhash64(payload).alias("h"), F.substring(F.encode(payload, "UTF-8"), 1, sample_bytes).alias("b"))
-    parts = [bytes(r["b"]) for r in found.orderBy("h").limit(samples).collect()]
+    found = pages.where(F.length(payload) > 0).withColumn("__h", F.xxhash64(payload))
+    least = [r["__h"] for r in found.select("__h").distinct().orderBy("__h").limit(samples).collect()]  # hashes only: each task sends `samples` of them
+    if not least:
+        return b""
+    chosen = found.where(F.col("__h") <= least[-1]).select("__h", F.substring(F.encode(payload, "UTF-8"), 1, sample_bytes).alias("b"))
+    parts = [bytes(r["b"]) for r in chosen.groupBy("__h").agg(F.min("b").alias("b")).orderBy("__h").collect()]
     try:
         return zstandard.train_dictionary(size, parts).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few or too small: the samples themselves serve as one
