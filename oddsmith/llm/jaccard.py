@@ -17,7 +17,10 @@ a hash, so that lanes have different leaders) that it shares most lanes with;
 verified links join nodes to components. Lanes whose nodes lie in several
 components are then verified: all their pairs across components where they are
 few, against further leaders where a lane has over SMALL nodes, and at last all
-pairs. So no link can be missed, while a group of near copies isn't paired out.
+pairs. Of those, pairs go unverified whose sizes rule a link out: shingles that
+only one of the nodes in question has are in no intersection, and the others
+bound it. So no link can be missed, while a group of near copies isn't paired
+out, as those that don't link hold many shingles of their own.
 Sets for verification are made from whole texts again; a bitmap of fixed size
 spares most other texts the way.
 
@@ -141,10 +144,8 @@ def _prepare(docs: DataFrame, key: str, text: str, size: int, pct: int) -> DataF
     return rows.mapInArrow(make, "id long, n long, a long, b long, lanes array<long>")
 
 
-def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, size: int, pct: int) -> DataFrame:
-    """The pairs (u, v) that link."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame, size: int) -> DataFrame:
+    """(id, set) of the texts whose id is in ids: the hashes of the set, 8 bytes each."""
     sent = bitmap(ids.select(F.xxhash64("id").alias("slot")), "slot", BITS)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,28 @@ def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, size: int,
                     yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle(t).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).withColumn("slot", F.xxhash64("id"))
-    sets = rows.where("id is not null").mapInArrow(make, "id long, set binary").join(ids, "id", "left_semi")
+    return rows.where("id is not null").mapInArrow(make, "id long, set binary").join(ids, "id", "left_semi")
+
+
+def _shareable(docs: DataFrame, key: str, text: str, nodes: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(node, n, m): a node of ids can share m shingles with another of them at most, as its others are in it alone."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id, one in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.frombuffer(one.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), id, np.int64))], names=["h", "id"])
+
+    held = _sets(docs, key, text, ids, size).mapInArrow(flat, "h long, id long")
+    alone = held.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count("*").alias("alone"))
+    some = nodes.select(F.col("node").alias("id"), "n").join(ids, "id", "left_semi").join(alone, "id", "left")
+    return some.select(F.col("id").alias("node"), "n", F.greatest(F.lit(0), F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
+
+
+def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, size: int, pct: int) -> DataFrame:
+    """The pairs (u, v) that link."""
+    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    sets = _sets(docs, key, text, ids, size)
     sided = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("s")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("t")), "v").select("u", "v", "s", "t")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,30 +205,29 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
 
     best = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "leader")).alias("best"))
     pairs = written(best.select(F.greatest("node", "best.leader").alias("u"), F.least("node", "best.leader").alias("v")).distinct(), "pairs")
-    tested, links, turn = pairs, _verified(docs, key, text, pairs, size, pct), 0
-    while True:
+    tested, links = pairs, _verified(docs, key, text, pairs, size, pct)
+    for turn in range(1, LEADER_ROUNDS + 2):
         tree = components(links)
         label = F.coalesce("v", "node").alias("label")
         placed = shared.join(tree, F.col("node") == F.col("u"), "left").select("lane", "of", "node", label)
         torn = placed.groupBy("lane").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("lane")
         torn = written(placed.join(torn, "lane"), "torn")
-        turn += 1
         small = torn.where(F.col("of") <= SMALL) if turn <= LEADER_ROUNDS else torn
-        left, right = (small.select("lane", F.col("node").alias(n), F.col("label").alias(n * 2)) for n in ("u", "v"))
-        new = left.join(right, "lane").where("u > v and uu <> vv").select("u", "v")
+        bound = written(_shareable(docs, key, text, nodes, small.select(F.col("node").alias("id")).distinct(), size), "bounds")
+        small = small.join(bound, "node")
+        left, right = (small.select("lane", *(F.col(c).alias(c + end) for c in ("node", "label", "n", "m"))) for end in ("_u", "_v"))
+        most = F.least("m_u", "m_v")
+        both = left.join(right, "lane").where("node_u > node_v and label_u <> label_v").where(100 * most >= pct * (F.col("n_u") + F.col("n_v") - most))
+        new = both.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
         if turn <= LEADER_ROUNDS:
             large = torn.where(F.col("of") > SMALL)
             first = large.groupBy("lane").agg(F.min(F.struct(F.xxhash64("lane", "node", F.lit(turn)).alias("rank"), "node", "label")).alias("led")).select("lane", "led.node", "led.label")
             first = first.toDF("lane", "leader", "its")
             new = new.unionByName(large.join(first, "lane").where("label <> its").select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")))
         new = written(new.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-        if new.isEmpty():
-            if turn > LEADER_ROUNDS or torn.where(F.col("of") > SMALL).isEmpty():
-                break
-            turn = LEADER_ROUNDS
-            continue
         links = tree.unionByName(_verified(docs, key, text, new, size, pct))
         tested = tested.unionByName(new)
+    tree = components(links)
     classes = ready.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("node"))
     tree = tree.withColumnsRenamed({"u": "node", "v": "least"})
     labels = classes.join(tree, "node", "left").select("n", "a", "b", F.coalesce("least", "node").alias("class"))
