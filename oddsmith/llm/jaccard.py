@@ -212,18 +212,22 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
         placed = shared.join(tree, F.col("node") == F.col("u"), "left").select("lane", "of", "node", label)
         torn = placed.groupBy("lane").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("lane")
         torn = written(placed.join(torn, "lane"), "torn")
-        small = torn.where(F.col("of") <= SMALL) if turn <= LEADER_ROUNDS else torn
-        bound = written(_shareable(docs, key, text, nodes, small.select(F.col("node").alias("id")).distinct(), size), "bounds")
-        small = small.join(bound, "node")
-        left, right = (small.select("lane", *(F.col(c).alias(c + end) for c in ("node", "label", "n", "m"))) for end in ("_u", "_v"))
-        most = F.least("m_u", "m_v")
-        both = left.join(right, "lane").where("node_u > node_v and label_u <> label_v").where(100 * most >= pct * (F.col("n_u") + F.col("n_v") - most))
-        new = both.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+        near, far = torn.where(F.col("of") <= SMALL), torn.where(F.col("of") > SMALL)
+        if turn == 1:  # all pairs of the lanes with few nodes: they are done then
+            left, right = (near.select("lane", F.col("node").alias(n), F.col("label").alias(n * 2)) for n in ("u", "v"))
+            new = left.join(right, "lane").where("u > v and uu <> vv").select("u", "v")
         if turn <= LEADER_ROUNDS:
-            large = torn.where(F.col("of") > SMALL)
-            first = large.groupBy("lane").agg(F.min(F.struct(F.xxhash64("lane", "node", F.lit(turn)).alias("rank"), "node", "label")).alias("led")).select("lane", "led.node", "led.label")
+            first = far.groupBy("lane").agg(F.min(F.struct(F.xxhash64("lane", "node", F.lit(turn)).alias("rank"), "node", "label")).alias("led")).select("lane", "led.node", "led.label")
             first = first.toDF("lane", "leader", "its")
-            new = new.unionByName(large.join(first, "lane").where("label <> its").select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")))
+            led = far.join(first, "lane").where("label <> its").select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v"))
+            new = new.unionByName(led) if turn == 1 else led
+        else:
+            bound = written(_shareable(docs, key, text, nodes, far.select(F.col("node").alias("id")).distinct(), size), "bounds")
+            far = far.join(bound, "node")
+            left, right = (far.select("lane", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "label", "n", "m"))) for end in ("u", "v"))
+            most = F.least("m_u", "m_v")
+            both = left.join(right, "lane").where("node_u > node_v and label_u <> label_v").where(100 * most >= pct * (F.col("n_u") + F.col("n_v") - most))
+            new = both.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
         new = written(new.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
         links = tree.unionByName(_verified(docs, key, text, new, size, pct))
         tested = tested.unionByName(new)
