@@ -21,8 +21,9 @@ pairs. Of those, pairs go unverified whose sizes rule a link out: shingles that
 only one of the nodes in question has are in no intersection, and the others
 bound it. So no link can be missed, while a group of near copies isn't paired
 out, as those that don't link hold many shingles of their own.
-Sets for verification are made from whole texts again; a bitmap of fixed size
-spares most other texts the way.
+Pairs whose whole sketches (of the size's width, folded to the narrower) lie too
+far apart go unverified. Sets for the others are made from whole texts again; a
+bitmap of fixed size spares most other texts the way.
 
 Null or empty text, or no word: no shingle, linked with nothing. Fewer words
 than a shingle has: the sequence is the one shingle. Repeated rows are equal
@@ -103,6 +104,14 @@ class Bands:
         spare = 1 + int(differ * self.surplus)
         return differ + spare, spare
 
+    def sketch(self, h: np.ndarray) -> bytes:
+        """Parities of bits that the shingles flip, four times as many (to a power of two) as a link may differ in."""
+        bits = 64
+        while bits < 4 * len(h) * (100 - self.pct) / self.pct:
+            bits *= 2
+        flips = np.bincount((_mix(h ^ _K[2]) & np.uint64(bits - 1)).view(np.int64), minlength=bits)
+        return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
+
     def lanes(self, h: np.ndarray) -> np.ndarray:
         """Keys of the lanes that a set is found by."""
         if len(h) < self.least:
@@ -122,8 +131,32 @@ class Bands:
         return np.concatenate(out).view(np.int64)
 
 
+def _distance(x: bytes, y: bytes) -> int:
+    """The Hamming distance of two sketches; the wider one is folded, which keeps parities."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, bits = int.from_bytes(x, "little"), 8 * len(x)
+    while bits > 8 * len(y):
+        bits //= 2
+        a = a >> bits ^ a & (1 << bits) - 1
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
+    """The pairs (u, v) whose sketches' distance leaves a link possible."""
+    sides = [nodes.select(F.col("node").alias(e), F.col("n").alias("n" + e), F.col("sketch").alias("s" + e)) for e in ("u", "v")]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.asarray(batch.column(2)) + np.asarray(batch.column(4))
+            apart = np.array([_distance(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(apart * (100 + pct) <= total * (100 - pct)))
+
+    return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "nu", "su", "nv", "sv").mapInArrow(check, "u long, v long")
+
+
 def _prepare(docs: DataFrame, key: str, text: str, size: int, pct: int) -> DataFrame:
-    """(id, n, a, b, lanes) of each row; n, a and b tell sets apart."""
+    """(id, n, a, b, lanes, sketch) of each row; n, a and b tell sets apart."""
     bands = Bands(pct)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
@@ -137,11 +170,11 @@ def _prepare(docs: DataFrame, key: str, text: str, size: int, pct: int) -> DataF
                 offsets = np.r_[0, np.cumsum([len(x) for x in lanes])].astype(np.int32)
                 flat = np.concatenate(lanes) if lanes else np.array([], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.array([len(h) for h in sets], np.int64)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    names=["id", "n", "a", "b", "lanes"],
+                    [batch.column(0).slice(a, b - a), pa.array(np.array([len(h) for h in sets], np.int64)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([bands.sketch(h) for h in sets], pa.binary())],
+                    names=["id", "n", "a", "b", "lanes", "sketch"],
                 )
 
-    return rows.mapInArrow(make, "id long, n long, a long, b long, lanes array<long>")
+    return rows.mapInArrow(make, "id long, n long, a long, b long, lanes array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame, size: int) -> DataFrame:
@@ -197,14 +230,14 @@ def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, size: int,
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, pct: int = 90) -> DataFrame:
     """(key, n_shingles, component_id) of each row."""
     ready = written(_prepare(docs, key, text, size, pct), "sets")
-    nodes = written(ready.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("node"), F.any_value("lanes").alias("lanes")).where("node is not null"), "nodes")
+    nodes = written(ready.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("node"), F.any_value(F.struct("lanes", "sketch")).alias("x")).where("node is not null").select("node", "n", "x.lanes", "x.sketch"), "nodes")
     lanes = nodes.select("node", F.explode("lanes").alias("lane"))
     rank = F.xxhash64("lane", "node")
     led = lanes.groupBy("lane").agg(F.count("*").alias("of"), F.min(F.struct(rank.alias("rank"), "node")).alias("led")).where("of > 1").select("lane", "of", F.col("led.node").alias("leader"))
     shared = written(lanes.join(led, "lane"), "lanes")
 
     best = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "leader")).alias("best"))
-    pairs = written(best.select(F.greatest("node", "best.leader").alias("u"), F.least("node", "best.leader").alias("v")).distinct(), "pairs")
+    pairs = written(_possible(best.select(F.greatest("node", "best.leader").alias("u"), F.least("node", "best.leader").alias("v")).distinct(), nodes, pct), "pairs")
     tested, links = pairs, _verified(docs, key, text, pairs, size, pct)
     for turn in range(1, LEADER_ROUNDS + 2):
         tree = components(links)
@@ -228,7 +261,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
             most = F.least("m_u", "m_v")
             both = left.join(right, "lane").where("node_u > node_v and label_u <> label_v").where(100 * most >= pct * (F.col("n_u") + F.col("n_v") - most))
             new = both.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
-        new = written(new.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
+        new = written(_possible(new.distinct().join(tested, ["u", "v"], "left_anti"), nodes, pct), "pairs")
         links = tree.unionByName(_verified(docs, key, text, new, size, pct))
         tested = tested.unionByName(new)
     tree = components(links)
