@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,15 +63,13 @@ def id_hash_bucket(column: str, modulus: int) -> Column:
 
 def chunks(batch: pa.RecordBatch, text_at: int, most: int) -> Iterator[tuple[int, int, list[str | None]]]:
     """Runs of a batch's rows whose texts have about `most` characters (one row at least)."""
-    texts = batch.column(text_at).to_pylist()
+    texts = batch.column(text_at)
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= most:
-            yield start, i + 1, texts[start : i + 1]
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+        size += n
+        if size >= most or i == len(texts) - 1:
+            yield start, i + 1, texts.slice(start, i + 1 - start).to_pylist()
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts), texts[start:]
 
 
 def arrow_rows(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:

@@ -47,7 +47,7 @@ from oddsmith.llm.common import WORD, chunks, written
 from oddsmith.llm.components import components
 
 _words = re.compile(WORD.encode()).findall
-_CHUNK = 2_000_000
+_CHUNK = 500_000
 SMALL, LEADER_ROUNDS, BITS = 48, 1, 26
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -69,7 +69,7 @@ class Shingler:
         if not words:
             return np.array([], np.uint64)
         known = self.hash
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
