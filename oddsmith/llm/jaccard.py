@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmith.llm.bitmap import bitmap, marked
-from oddsmith.llm.common import WORD, chunks, written
+from oddsmith.llm.common import WORD, chunks, dropped, written
 from oddsmith.llm.components import components
 
 _words = re.compile(WORD.encode()).findall
@@ -227,13 +227,32 @@ def _verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, size: int,
     return sided.mapInArrow(check, "u long, v long").distinct()
 
 
+def _with_company(nodes: DataFrame, sent) -> DataFrame:
+    """(node, lane) of the lanes that the bitmap marks: most lanes have one node, and needn't be shuffled with it."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, batch.num_rows, 500):
+                rows = batch.slice(part, 500)
+                lists = rows.column(1)
+                flat = np.asarray(lists.flatten())
+                at = np.flatnonzero(marked(sent.value, flat))
+                owner = np.repeat(np.asarray(rows.column(0)), np.asarray(lists.value_lengths()))
+                yield pa.RecordBatch.from_arrays([pa.array(owner[at]), pa.array(flat[at])], names=["node", "lane"])
+
+    return nodes.select("node", "lanes").mapInArrow(find, "node long, lane long")
+
+
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, pct: int = 90) -> DataFrame:
     """(key, n_shingles, component_id) of each row."""
-    ready = written(_prepare(docs, key, text, size, pct), "sets")
-    nodes = written(ready.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("node"), F.any_value(F.struct("lanes", "sketch")).alias("x")).where("node is not null").select("node", "n", "x.lanes", "x.sketch"), "nodes")
-    lanes = nodes.select("node", F.explode("lanes").alias("lane"))
-    rank = F.xxhash64("lane", "node")
-    led = lanes.groupBy("lane").agg(F.count("*").alias("of"), F.min(F.struct(rank.alias("rank"), "node")).alias("led")).where("of > 1").select("lane", "of", F.col("led.node").alias("leader"))
+    wide = written(_prepare(docs, key, text, size, pct), "sets")
+    laned = written(wide.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("node"), F.any_value(F.struct("lanes", "sketch")).alias("x")).where("node is not null").select("node", "n", "x.lanes", "x.sketch"), "nodes")
+    ready, nodes = written(wide.select("id", "n", "a", "b"), "ids"), written(laned.select("node", "n", "sketch"), "sketches")
+    dropped(wide)
+    counts = written(laned.select(F.explode("lanes").alias("lane")).groupBy("lane").agg(F.count("*").alias("of")).where("of > 1"), "counts")
+    lanes = written(_with_company(laned, bitmap(counts, "lane", BITS)).join(counts, "lane"), "shared")
+    dropped(laned)
+    led = lanes.groupBy("lane").agg(F.min(F.struct(F.xxhash64("lane", "node").alias("rank"), "node")).alias("led")).select("lane", F.col("led.node").alias("leader"))
     shared = written(lanes.join(led, "lane"), "lanes")
 
     best = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "leader")).alias("best"))
