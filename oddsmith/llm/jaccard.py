@@ -7,8 +7,9 @@ its hash names, and the Hamming distance of two sketches bounds the symmetric
 difference from below. A size band's sketch has lanes, `spare` more than that
 difference, so `spare` lanes at least are equal in any two sets that link
 (pigeonhole). A lane is stored as the XOR of the codes of its bits that are set.
-Lanes of few shingles say little: they are only stored if a set has `spare` or
-more of them, and else another lane is equal. A set is dealt into the band of
+Lanes of few shingles say little: a set goes without its `spare` - 1 smallest
+(by size, then place). Equal lanes have equal sizes, and `spare` - 1 others are
+smaller than the largest of them, so both sets keep that one. A set is dealt into the band of
 its size, and into the one below if a smaller partner may be there.
 
 Equal sets are one node from the start (128-bit sums of their hashes). Of the
@@ -86,7 +87,7 @@ class Bands:
 
     def __init__(self, pct: int):
         self.pct = pct
-        self.ratio, self.surplus, self.few = (1.5, 0.1, 2) if pct >= 88 else (1.3, 0.15, 1)
+        self.ratio, self.surplus = (1.5, 0.1) if pct >= 88 else (1.3, 0.15)
         # two sets that differ and link have 100 / (100 - pct) shingles together at least
         self.least = max(1, -(-100 // (100 - pct)) - 1) if pct < 100 else 1 << 62
         self.low = [self.least]
@@ -126,8 +127,7 @@ class Bands:
             some = size > 0
             xor[some] = np.bitwise_xor.reduceat(code, start[:-1][some])
             key = _mix(xor ^ _mix(np.arange(count, dtype=np.uint64) + np.uint64(band << 40)))
-            low = size <= self.few
-            out.append(key if low.sum() >= spare else key[~low])
+            out.append(key[np.lexsort([np.arange(count), size])[spare - 1 :]])
         return np.concatenate(out).view(np.int64)
 
 
