@@ -9,10 +9,12 @@ overlapping the next by half, so that any place of an item's length lies in one.
 A block holds items of similar length. The sum of a passage's terms' largest
 impacts in a block bounds the BM25 score of every item in it (block-max WAND);
 blocks that can't reach their lowest threshold are skipped, first for the whole
-text, then for the passage. The items of the blocks left are scored in full. An
-item's threshold is a share of the score of its own text. Items above it are
-verified: of the word trigrams of its first half (the question) and of its
-second half (the answer) a share must occur in the passage.
+text, then for the passage. The items of the blocks left are scored in full.
+Items above their threshold are verified: of the word trigrams of its first half
+(the question) and of its second half (the answer) the share `overlap` must occur
+in the passage. An item's threshold is the least score that a passage with such
+an overlap can have, or `share` of its own text's score if that is less, so that
+the overlap alone decides.
 
 Null and empty texts and items match nothing. Repeated rows of the same id give
 one row for each id and item (best figures). Items without words are skipped.
@@ -21,6 +23,7 @@ Empty tables give no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +40,7 @@ K1, B = 1.2, 0.75
 class Index:
     """BM25 impacts of a shard of items, by blocks."""
 
-    def __init__(self, items: list[tuple[object, list[str]]], idf: dict[str, float], mean: float, share: float, block: int = 4):
+    def __init__(self, items: list[tuple[object, list[str]]], idf: dict[str, float], mean: float, share: float, overlap: float, block: int = 4):
         items = sorted(items, key=lambda x: len(x[1]))
         self.ids = [k for k, _ in items]
         self.words = [w for _, w in items]
@@ -52,16 +55,18 @@ class Index:
             own = {self.terms[t] for w in self.words[start : start + block] for t in w}
             self.place[b, sorted(own)] = np.arange(1, len(own) + 1)
             self.impacts.append(np.zeros((len(own) + 1, len(self.words[start : start + block]))))
+        self.halves = [_halves(w) for w in self.words]
         for i, w in enumerate(self.words):
+            impacts = {}
             for t, tf in Counter(w).items():
                 impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
                 k = self.terms[t]
                 self.impacts[i // block][self.place[i // block, k], i % block] = impact
                 self.tops[k, i // block] = max(self.tops[k, i // block], impact * (1 + 1e-6))
-                self.need[i] += share * impact
+                impacts[t] = impact
+            self.need[i] = min(share * sum(impacts.values()), _least(self.halves[i], impacts, overlap))
         self.least = np.minimum.reduceat(self.need, np.arange(0, len(items), block)) if items else np.zeros(0)
         self.window = 2 * max(len(w) for w in self.words)
-        self.halves = [_halves(w) for w in self.words]
 
     def matches(self, words: list[str], overlap: float) -> dict[int, tuple[float, float, float]]:
         """Items found in a text: (BM25 as a share of the item's own score at most 1, question, answer overlap)."""
@@ -111,7 +116,21 @@ def _halves(words: list[str]) -> list[tuple[int, set]]:
     return out
 
 
-def indexes(items: DataFrame, key: Column, text: Column, *, share: float = 0.6, shard_items: int = 1024, shard_terms: int = 30_000, most_items: int = 1_000_000) -> Iterator[Index]:
+def _least(halves: list[tuple[int, set]], impacts: dict[str, float], overlap: float) -> float:
+    """A bound from below on the score of a passage that holds the share `overlap` of each half's n-grams.
+
+    Each term's impact is dealt evenly to the n-grams that hold it: a passage's
+    n-grams then have no more than its terms have, and the lightest ones least.
+    """
+    of = Counter(t for _, half in halves for g in half for t in set(g))
+    total = 0.0
+    for _, half in halves:
+        weights = sorted(sum(impacts[t] / of[t] for t in set(g)) for g in half)
+        total += sum(weights[: math.ceil(overlap * len(half) - 1e-9)])
+    return total
+
+
+def indexes(items: DataFrame, key: Column, text: Column, *, overlap: float = 0.5, share: float = 0.5, shard_items: int = 1024, shard_terms: int = 30_000, most_items: int = 1_000_000) -> Iterator[Index]:
     """The items' index, a shard at a time. A benchmark of over most_items items is refused."""
     tests = items.select(key.alias("item"), text.alias("text")).where(F.col("text").isNotNull())
     held = []
@@ -125,7 +144,7 @@ def indexes(items: DataFrame, key: Column, text: Column, *, share: float = 0.6,
     idf = {t: float(np.log(1 + (len(held) - n + 0.5) / (n + 0.5))) for t, n in df.items()}
     mean = sum(len(w) for _, w in held) / max(1, len(held))
     for shard in _shards(held, shard_items, shard_terms):
-        yield Index(shard, idf, mean, share)
+        yield Index(shard, idf, mean, share, overlap)
 
 
 def find(docs: DataFrame, key: Column, text: Column, items: DataFrame, item_key: Column, item_text: Column, *, overlap: float = 0.5, **index) -> DataFrame:
@@ -133,7 +152,7 @@ def find(docs: DataFrame, key: Column, text: Column, items: DataFrame, item_key:
     rows = docs.select(key.alias("key"), text.alias("text")).where(F.col("text").isNotNull())
     schema = f"key {rows.schema['key'].dataType.simpleString()}, item {items.select(item_key.alias('item')).schema['item'].dataType.simpleString()}, bm25 double, question double, answer double"
     found = None
-    for shard in indexes(items, item_key, item_text, **index):
+    for shard in indexes(items, item_key, item_text, overlap=overlap, **index):
         part = rows.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(shard), overlap), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -144,7 +163,7 @@ def find(docs: DataFrame, key: Column, text: Column, items: DataFrame, item_key:
 def clean(docs: DataFrame, text: str, items: DataFrame, item_key: Column, item_text: Column, *, overlap: float = 0.5, **index) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
     at = docs.columns.index(text)
-    for shard in indexes(items, item_key, item_text, **index):
+    for shard in indexes(items, item_key, item_text, overlap=overlap, **index):
         docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(shard), overlap, at), docs.schema)
     return docs
 

@@ -152,6 +152,40 @@ def test_decontaminate(spark):
     assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_decontaminate_partly_quoted(spark):
+    """Quotes of just the overlap's length, and edited ones, against the overlap check alone."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
+    common = [word() for _ in range(40)]
+    items = [(k, " ".join(rng.choice(common) if rng.random() < 0.5 else word() for _ in range(rng.randint(12, 60)))) for k in range(60)]
+    rows, want = [], set()
+    for k, text in items:
+        w = text.split()
+        for _ in range(8):
+            out = ["zz"] * 5
+            for half in (w[: -(-len(w) // 2)], w[-(-len(w) // 2) :]):
+                n = -(-(len(half) - 2) // 2) + 2 + rng.choice([-1, 0, 0, 1])
+                at = rng.randint(0, max(0, len(half) - n))
+                out += half[at : at + n] + ["zz"] * 3
+            if rng.random() < 0.3:
+                out = w[:]
+                out[rng.randrange(len(out))] = "zz"
+            rows.append((len(rows), " ".join(out)))
+    grams = lambda w: set(zip(w, w[1:], w[2:], strict=False))
+    for i, t in rows:
+        here = grams(t.split())
+        for k, text in items:
+            w = text.split()
+            cut = -(-len(w) // 2)
+            if all(2 * len(g & here) >= len(g) for g in (grams(w[:cut]), grams(w[cut:]))):
+                want.add((i, k))
+    df = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find(table(spark, rows), F.col("doc_id"), F.col("text"), df, F.col("item_id"), F.col("text"))
+    assert {(r.key, r.item) for r in got.collect()} == want and len(want) > 200
+    left = decontaminate.clean(table(spark, rows), "text", df, F.col("item_id"), F.col("text"))
+    assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 def test_line_dedup_keeps_the_first(spark):
     line = "the same long line on many sites"
     rows = [(i, f"{line}\nown line number {i} of this text", "en", f"s{i}", 0) for i in range(12)]
