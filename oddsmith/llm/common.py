@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
@@ -61,6 +61,30 @@ def id_hash_bucket(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
+def text_hash(text: Column, seed: int) -> list[Column]:
+    return [F.xxhash64(text, F.lit(seed)).alias("a"), F.xxhash64(F.lit("copy"), text).alias("b")]
+
+
+def distinct_sample(rows: DataFrame, most: Column, most_labels: int) -> tuple[dict, DataFrame]:
+    """Rows of each label, and (label, a, b) of the texts with the `most` smallest hashes of each label.
+
+    rows: (label, a, b), a and b by text_hash. Copies count once in the sample,
+    so that no text can crowd out the others or be left out with all its weight.
+    """
+    texts = rows.groupBy("label", "a", "b").agg(F.count("*").alias("n"))
+    sizes = texts.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.max(most).alias("most")).limit(most_labels + 1).collect()
+    if len(sizes) > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
+    if not sizes:
+        return {}, texts.select("label", "a", "b")
+    # few more than wanted come to be ordered: as many as the label has, or 1.2 times and 200 more
+    ends = [(r.label, 2**63 - 1 if r.texts <= 1.2 * r.most + 200 else int((1.2 * r.most + 200) / r.texts * 2**64) - 2**63) for r in sizes]
+    end = F.create_map(*[F.lit(x) for pair in ends for x in pair])
+    few = texts.where(F.col("a") <= end[F.col("label")])
+    chosen = few.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy("a", "b"))).where(F.col("at") <= most)
+    return {r.label: r.n for r in sizes}, chosen.select("label", "a", "b")
+
+
 def chunks(batch: pa.RecordBatch, text_at: int, most: int) -> Iterator[tuple[int, int, list[str | None]]]:
     """Runs of a batch's rows whose texts have about `most` characters (one row at least)."""
     texts = batch.column(text_at)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm.common import arrow_rows, chunks
+from oddsmith.llm.common import arrow_rows, chunks, distinct_sample, text_hash
 
 UND = "und"
 _CHUNK = 400_000
@@ -57,20 +57,19 @@ def grams(texts: list[str], slot_bits: int) -> tuple[np.ndarray, np.ndarray, np.
 def train(labelled: DataFrame, text: str, label: str, *, slot_bits: int = 15, rows_per_lang: int = 5000, max_langs: int = 500, seed: int = 9) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities (slots + 1 rows: the last holds the priors).
 
-    Learns from about rows_per_lang rows of each language (all, if fewer), taken
-    by a hash of the text, so that the fit is of bounded size; the share of each
-    language in all labelled rows is its prior.
+    Learns from rows_per_lang distinct texts of each language (all, if fewer),
+    those with the smallest hashes, so that the fit is of bounded size; copies
+    count once. The share of each language in all labelled rows is its prior.
     """
     known = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("lang"), F.col(text).alias("text"))
-    sizes = dict(known.groupBy("lang").count().limit(max_langs + 1).collect())
-    if len(sizes) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    hashed = known.select("lang", "text", *text_hash(F.col("text"), seed))
+    sizes, chosen = distinct_sample(hashed.select(F.col("lang").alias("label"), "a", "b"), F.lit(rows_per_lang), max_langs)
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((2**slot_bits + 1, 0), np.float32)
-    span = 1 << 20
-    most = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, rows_per_lang / sizes[k]) * span))])
-    sample = known.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(span)) < most[F.col("lang")])
+    last = dict(chosen.groupBy("label").agg(F.max("a")).collect())
+    end = F.create_map(*[F.lit(x) for k in langs for x in (k, last[k])])
+    sample = hashed.where(F.col("a") <= end[F.col("lang")]).groupBy("lang", "a", "b").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

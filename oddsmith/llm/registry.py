@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsmith.llm import decontaminate, jaccard, langid, licenses, linededup, mixing, repeats, substrings, toxicity, warc
-from oddsmith.llm.common import id_hash_bucket, table
+from oddsmith.llm.common import id_hash_bucket, table, text_hash
 
 #: Target shares of output characters; all other sources share REST.
 SHARES = {"src0": 0.15, "src1": 0.10, "src2": 0.02, "src3": 0.08}
@@ -35,7 +35,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = id_hash_bucket("doc_id", 3) == 1
-    model = toxicity.train(docs.where(~out).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id"), "text", "toxic")
+    known = docs.where(~out).select("doc_id", *text_hash(F.col("text"), 5)).join(labels.select("doc_id", "toxic"), "doc_id")
+    model = toxicity.train(docs.where(~out), "text", "toxic", hashed=known, seed=5)
     scored = toxicity.score(docs, F.struct("doc_id"), F.col("text"), model).select("key.doc_id", "score")
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -10,8 +10,8 @@ FLOOR count as none) and these to the power SHARP (a product of kernels is a
 kernel), each mapped by the landmarks' kernel matrix to the power -1/2 (Nyström). A linear SVM is fitted to them (hinge
 loss, full-batch subgradient), its margins turned to scores by a logistic fit.
 
-The fit sees at most about max_pos + max_neg labelled rows, taken by a hash of
-the text; everything else covers each whole text. Null, empty and wordless texts
+The fit sees at most max_pos and max_neg distinct texts of the labels, those with
+the smallest hashes; copies count once. Everything else covers each whole text. Null, empty and wordless texts
 get the score of no features. Repeated rows are scored alike. No labelled row of
 one of the labels: every score is the share of label 1 (0 without labels).
 Tokens longer than PIECE characters are compared by overlapping pieces.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsmith.llm.common import chunks
+from oddsmith.llm.common import chunks, distinct_sample, text_hash
 
 DECAY, FLOOR, PIECE, ORDER, SHARP = 0.7, 0.6, 24, 3, 6
 _CACHE = 300_000
@@ -194,17 +194,22 @@ def _features(pooled: np.ndarray, root: np.ndarray) -> np.ndarray:
     return np.hstack([pooled @ root, pooled**SHARP @ root, np.ones((len(pooled), 1))])
 
 
-def train(labelled: DataFrame, text: str, label: str, *, max_pos: int = 1500, max_neg: int = 3000, most_landmarks: int = 64, seed: int = 5) -> dict:
-    """The model, fitted on a bounded sample of rows with label 0 or 1."""
-    known = labelled.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"))
-    n = dict(known.groupBy("y").count().collect())
+def train(labelled: DataFrame, text: str, label: str, *, hashed: DataFrame | None = None, max_pos: int = 1500, max_neg: int = 3000, most_landmarks: int = 64, seed: int = 5) -> dict:
+    """The model, fitted on a bounded sample of the distinct texts with label 0 or 1.
+
+    hashed: the labelled rows with a and b, their text_hash by `seed`, in place of
+    the text; labelled then need only hold the texts.
+    """
+    known = labelled.select(label, *text_hash(F.col(text), seed)) if hashed is None else hashed
+    known = known.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), "a", "b")
+    n, chosen = distinct_sample(known, F.when(F.col("label") == 1, max_pos).otherwise(max_neg), 2)
     rate = n.get(1, 0) / max(1, sum(n.values()))
     if not (n.get(0) and n.get(1)):
         return {"landmarks": [], "base": float(rate)}
-    span = 1 << 20
-    most = F.when(F.col("y") == 1, int(min(1, max_pos / n[1]) * span)).otherwise(int(min(1, max_neg / n[0]) * span))
-    got = known.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(span)) < most).toPandas()
-    y, texts = got["y"].to_numpy(), got["text"].tolist()
+    chosen = labelled.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
+    texts = labelled.select(F.col(text).alias("text"), *text_hash(F.col(text), seed)).join(F.broadcast(chosen), ["a", "b"])
+    got = texts.groupBy("label", "a", "b").agg(F.first("text").alias("text")).orderBy("label", "a", "b").toPandas()
+    y, texts = got["label"].to_numpy(), got["text"].tolist()
     sets = [{w for t in (tokens(x) if x else ()) if ORDER <= len(w := normal(t)) <= PIECE} for x in texts]
     pos, neg = Counter(), Counter()
     for s, k in zip(sets, y, strict=True):

@@ -216,6 +216,24 @@ def test_toxic_variants():
     assert toxicity.normal("i.d-i*ot!") == "idiot" and "idiot" in toxicity.tokens("an i d i o t here")
 
 
+def test_copies_do_not_crowd_the_samples(spark):
+    """A toxic text and a text of one language are most rows: whatever their hashes, the others are learned from."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    words = [word() for _ in range(300)]
+    clean = lambda: " ".join(rng.choice(words) for _ in range(20))
+    toxic = [clean() + " " + rng.choice(["wretchling", "sloptoad"]) for _ in range(100)]
+    rows = [(t, 1, "xx") for t in toxic] + [(clean(), 0, "yy") for _ in range(200)]
+    for k in range(3):
+        rows_k = rows + [(f"only copies {k}", 1, "xx")] * 3000
+        d = spark.createDataFrame(rows_k, "text string, toxic int, lang string").repartition(4)
+        model = toxicity.train(d, "text", "toxic", max_pos=60, max_neg=100)
+        assert {"wretchling", "sloptoad"} <= set(model["landmarks"])
+        langs, matrix = langid.train(d, "text", "lang", rows_per_lang=50)
+        grams = langid.grams([" ".join(toxic)], 15)[0]
+        assert langs == ["xx", "yy"] and (matrix[grams, 0] > matrix[:-1, 0].min()).mean() > 0.9
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(3, "u\n", "x" * 200), (1, None, "x" * 200), (2, "v", "short"), (4, "w", "short"), (5, "z", None)], "page_id long, url string, html string")
     got = {r.key: (r.record_type, r.refers_to, bytes(r.payload or b"")) for r in warc.read(spark, warc.write(pages)).collect()}
