@@ -234,6 +234,19 @@ def test_copies_do_not_crowd_the_samples(spark):
         assert langs == ["xx", "yy"] and (matrix[grams, 0] > matrix[:-1, 0].min()).mean() > 0.9
 
 
+def test_toxic_variants_through_score(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("bfghjkqvwyz") for _ in range(7))
+    clean = lambda: " ".join(word() for _ in range(12))
+    insults = ["idiot", "moron", "loser", "stupid", "pathetic", "scum"]
+    rows = [(f"{clean()} {insults[k % 6]} {clean()}", 1) for k in range(120)] + [(clean(), 0) for _ in range(200)]
+    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"), "text", "toxic")
+    variants = ["idxixot", "ixdxiot", "moxrxon", "lxosxer", "stxupxid", "paxthexticx", "scxum", "sxcum", "scxuxm", "idiiiiot", "stuuuupid"]
+    texts = [clean()] + [f"{clean()} {v}" for v in variants]
+    got = {r.key: r.score for r in toxicity.score(table(spark, enumerate(texts)), F.col("doc_id"), F.col("text"), model).collect()}
+    assert all(got[i] > got[0] + 1e-3 for i in range(1, len(texts)))
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(3, "u\n", "x" * 200), (1, None, "x" * 200), (2, "v", "short"), (4, "w", "short"), (5, "z", None)], "page_id long, url string, html string")
     got = {r.key: (r.record_type, r.refers_to, bytes(r.payload or b"")) for r in warc.read(spark, warc.write(pages)).collect()}
