@@ -98,8 +98,9 @@ _COUNTS = pa.schema([("lang", pa.string()), ("slot", pa.int64()), ("n", pa.int64
 def predict(docs: DataFrame, key: Column, text: Column, model: tuple[list[str], np.ndarray], *, slot_bits: int = 15, evidence: int = 60) -> DataFrame:
     """(key, lang_pred, score) of each row.
 
-    score: the posterior of the predicted language, with a text's evidence
-    counted as that of `evidence` n-grams at most, so that it does not saturate.
+    lang_pred: the language of the largest posterior, by all n-grams of the text.
+    score: the posterior of that language, with a text's evidence counted as that
+    of `evidence` n-grams at most, so that it does not saturate.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(key.alias("key"), text.alias("text"))
@@ -114,10 +115,10 @@ def predict(docs: DataFrame, key: Column, text: Column, model: tuple[list[str],
                 if langs and len(slots):
                     n = np.bincount(owner, minlength=b - a)
                     sums = np.stack([np.bincount(owner, matrix[slots, k], b - a) for k in range(len(langs))], 1)
+                    which = (sums + matrix[-1]).argmax(1)
                     z = sums * (np.minimum(n, evidence) / np.maximum(n, 1))[:, None] + matrix[-1]
                     z = np.exp(z - z.max(1, keepdims=True))
                     z /= z.sum(1, keepdims=True)
-                    which = z.argmax(1)
                     for i in np.flatnonzero(lettered):
                         pred[i], best[i] = langs[which[i]], z[i, which[i]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pred, pa.string()), pa.array(best)], names=["key", "lang_pred", "score"])

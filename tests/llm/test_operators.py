@@ -247,6 +247,16 @@ def test_toxic_variants_through_score(spark):
     assert all(got[i] > got[0] + 1e-3 for i in range(1, len(texts)))
 
 
+def test_language_by_all_evidence(spark):
+    """A rare language, 0.15 nats an n-gram nearer: a long text is of it, a short one goes by the prior."""
+    matrix = np.full((2**15 + 1, 2), -10.0, np.float32)
+    matrix[:, 1] += 0.15
+    matrix[-1] = np.log([0.3, 1e-5])
+    found = langid.predict(table(spark, [(1, "abc def " * 200), (2, "abc def")]), F.col("doc_id"), F.col("text"), (["common", "rare"], matrix))
+    got = {r.key: (r.lang_pred, r.score) for r in found.collect()}
+    assert got[1][0] == "rare" and got[2][0] == "common" and 0 < got[1][1] < 1
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(3, "u\n", "x" * 200), (1, None, "x" * 200), (2, "v", "short"), (4, "w", "short"), (5, "z", None)], "page_id long, url string, html string")
     got = {r.key: (r.record_type, r.refers_to, bytes(r.payload or b"")) for r in warc.read(spark, warc.write(pages)).collect()}
