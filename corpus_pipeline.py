@@ -39,7 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", benchmark), ("mixing", mixture)]
 
-#: Suffix-array repeats, components and BM25 are beyond SQL; tests hold run() against a brute-force version.
+#: Suffix-array repeats, components and BM25 are beyond SQL; run() as a whole has no brute-force test yet.
 ORACLE_SQL = None
 
 
