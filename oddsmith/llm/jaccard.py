@@ -15,16 +15,26 @@ its size, and into the one below if a smaller partner may be there.
 Equal sets are one node from the start (128-bit sums of their hashes). Of the
 nodes that share a lane, each is verified against the lane's leader (picked by
 a hash, so that lanes have different leaders) that it shares most lanes with;
-verified links join nodes to components. Lanes whose nodes lie in several
-components are then verified: all their pairs across components where they are
-few, against further leaders where a lane has over SMALL nodes, and at last all
-pairs. Of those, pairs go unverified whose sizes rule a link out: shingles that
-only one of the nodes in question has are in no intersection, and the others
-bound it. So no link can be missed, while a group of near copies isn't paired
-out, as those that don't link hold many shingles of their own.
-Pairs whose whole sketches (of the size's width, folded to the narrower) lie too
-far apart go unverified. Sets for the others are made from whole texts again; a
-bitmap of fixed size spares most other texts the way.
+verified links join nodes to components. Of lanes whose nodes lie in several
+components, the links across components are left to find:
+
+1. shingles that only one of their nodes has are in no intersection; a node whose
+   others can't reach the similarity links with none of them and goes;
+2. each lane takes its node of most links as its hub, and the nodes of a hub's
+   lanes are a family. Sets are XORed with the hub's: the symmetric difference of
+   two sets is that of their XORs, which among near copies are small. Shingles in
+   most of a family's XORs are flipped in all, as if the hub had been the family's
+   middle;
+3. two sets whose XORs together are no larger than a link may differ in link, so
+   all that do so with the smallest XOR are joined to it unverified. Any other pair
+   must share a known part of its XORs, hence a shingle of the rarest rest of
+   either (prefix filter), at places that leave enough to share.
+
+So no link can be missed, and no group is paired out: neither near copies (which
+share what is frequent, not what is rare, of their XORs) nor texts with a common
+passage (which 1 lets go). Pairs whose whole sketches (of the size's width, folded
+to the narrower) lie too far apart go unverified. Sets for the others are made from
+whole texts again; a bitmap of fixed size spares most other texts the way.
 
 Null or empty text, or no word: no shingle, linked with nothing. Fewer words
 than a shingle has: the sequence is the one shingle. Repeated rows are equal
@@ -49,7 +59,7 @@ from oddsmith.llm.components import components
 
 _words = re.compile(WORD.encode()).findall
 _CHUNK = 500_000
-SMALL, LEADER_ROUNDS, BITS = 48, 1, 26
+BITS = 26
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -243,49 +253,82 @@ def _with_company(nodes: DataFrame, sent) -> DataFrame:
     return nodes.select("node", "lanes").mapInArrow(find, "node long, lane long")
 
 
+def _xored(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """groups (leader, node, n, label) with delta: the shingles that either the leader's or the node's set has, not both."""
+
+    def xor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, batch.num_rows, 500):
+                rows = batch.slice(part, 500)
+                found = [np.setxor1d(*(np.frombuffer(z.as_buffer(), np.int64) for z in both), assume_unique=True) for both in zip(rows.column(4), rows.column(5), strict=True)]
+                offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(rows.column(j) for j in range(4)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], names=["leader", "node", "n", "label", "delta"])
+
+    its, hubs = (sets.select(F.col("id").alias(e), F.col("set").alias(c)) for e, c in (("node", "s"), ("leader", "t")))
+    both = groups.join(its, "node").join(hubs, "leader").select("leader", "node", "n", "label", "s", "t")
+    return both.mapInArrow(xor, "leader long, node long, n long, label long, delta array<long>")
+
+
+def _centred(deltas: DataFrame, pct: int) -> DataFrame:
+    """deltas with what most of a family's have flipped, their size a, and x: two of a family link for sure if their x add up to 0 or less."""
+    sizes = deltas.groupBy("leader").agg(F.count("*").alias("size"))
+    held = deltas.select("leader", F.explode("delta").alias("h")).groupBy("leader", "h").agg(F.count("*").alias("c"))
+    flips = held.join(sizes, "leader").where("2 * c > size").groupBy("leader").agg(F.collect_list("h").alias("flip"))
+    moved = F.when(F.col("flip").isNull(), F.col("delta")).otherwise(F.concat(F.array_except("delta", "flip"), F.array_except("flip", "delta")))
+    out = deltas.join(flips, "leader", "left").withColumn("delta", moved).drop("flip").withColumn("a", F.size("delta").cast("long"))
+    return out.withColumn("x", F.col("a") * (100 + pct) - F.col("n") * (100 - pct))
+
+
+def _related(family: DataFrame, pct: int) -> tuple[DataFrame, DataFrame]:
+    """Of _centred() rows: pairs (u, v) that link for sure, and pairs of different labels that may link."""
+    unit = 2 * (100 + pct)  # a pair must share (x + x') / unit of its deltas
+    least = family.groupBy("leader").agg(F.min(F.struct("x", "node")).alias("mid")).select("leader", F.col("mid.x").alias("mid_x"), F.col("mid.node").alias("mid"))
+    placed = family.join(least, "leader").withColumn("off", F.col("x") + F.col("mid_x") > 0)
+    sure = placed.where("not off and node <> mid").select(F.greatest("node", "mid").alias("u"), F.least("node", "mid").alias("v")).distinct()
+    nearest = placed.where("off").groupBy("leader").agg(F.min("x").alias("off_x"))
+    held = family.select("leader", "label", F.explode("delta").alias("h")).groupBy("leader", "h").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("leader", "h", "c")
+    tokens = placed.join(nearest, "leader").select("leader", "node", "label", "a", "x", "mid_x", "off_x", "off", F.explode("delta").alias("h")).join(held, ["leader", "h"])
+    # shingles that no other label's delta has come first in the order of rarity
+    own = Window.partitionBy("leader", "node")
+    tokens = tokens.withColumn("rest", F.count("*").over(own) - F.row_number().over(own.orderBy("c", "h")) + 1)
+    first = tokens.where(unit * F.col("rest") >= F.col("x") + F.col("off_x"))
+    wide = tokens.where("off").where(unit * F.col("rest") >= F.col("x") + F.col("mid_x"))
+    left, right = (t.select("leader", "h", *(F.col(c).alias(f"{c}_{e}") for c in ("node", "label", "x", "off_x", "off", "rest"))) for t, e in ((first, "u"), (wide, "v")))
+    near = left.join(right, ["leader", "h"]).where("label_u <> label_v").where(unit * F.least("rest_u", "rest_v") >= F.col("x_u") + F.col("x_v"))
+    near = near.where(~F.col("off_u") | ((F.col("node_u") > F.col("node_v")) & (unit * F.col("rest_v") >= F.col("x_v") + F.col("off_x_v"))))
+    return sure, near.select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v")).distinct()
+
+
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, pct: int = 90) -> DataFrame:
     """(key, n_shingles, component_id) of each row."""
     wide = written(_prepare(docs, key, text, size, pct), "sets")
     laned = written(wide.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("node"), F.any_value(F.struct("lanes", "sketch")).alias("x")).where("node is not null").select("node", "n", "x.lanes", "x.sketch"), "nodes")
     ready, nodes = written(wide.select("id", "n", "a", "b"), "ids"), written(laned.select("node", "n", "sketch"), "sketches")
     dropped(wide)
-    counts = written(laned.select(F.explode("lanes").alias("lane")).groupBy("lane").agg(F.count("*").alias("of")).where("of > 1"), "counts")
+    counts = written(laned.select(F.explode("lanes").alias("lane")).groupBy("lane").agg(F.count("*").alias("of")).where("of > 1").select("lane"), "counts")
     lanes = written(_with_company(laned, bitmap(counts, "lane", BITS)).join(counts, "lane"), "shared")
     dropped(laned)
     led = lanes.groupBy("lane").agg(F.min(F.struct(F.xxhash64("lane", "node").alias("rank"), "node")).alias("led")).select("lane", F.col("led.node").alias("leader"))
-    shared = written(lanes.join(led, "lane"), "lanes")
-
-    best = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "leader")).alias("best"))
+    best = lanes.join(led, "lane").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "leader")).alias("best"))
     pairs = written(_possible(best.select(F.greatest("node", "best.leader").alias("u"), F.least("node", "best.leader").alias("v")).distinct(), nodes, pct), "pairs")
-    tested, links = pairs, _verified(docs, key, text, pairs, size, pct)
-    for turn in range(1, LEADER_ROUNDS + 2):
-        tree = components(links)
-        label = F.coalesce("v", "node").alias("label")
-        placed = shared.join(tree, F.col("node") == F.col("u"), "left").select("lane", "of", "node", label)
-        torn = placed.groupBy("lane").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("lane")
-        torn = written(placed.join(torn, "lane"), "torn")
-        near, far = torn.where(F.col("of") <= SMALL), torn.where(F.col("of") > SMALL)
-        if turn == 1:  # all pairs of the lanes with few nodes: they are done then
-            left, right = (near.select("lane", F.col("node").alias(n), F.col("label").alias(n * 2)) for n in ("u", "v"))
-            new = left.join(right, "lane").where("u > v and uu <> vv").select("u", "v")
-        if turn <= LEADER_ROUNDS:
-            first = far.groupBy("lane").agg(F.min(F.struct(F.xxhash64("lane", "node", F.lit(turn)).alias("rank"), "node", "label")).alias("led")).select("lane", "led.node", "led.label")
-            first = first.toDF("lane", "leader", "its")
-            led = far.join(first, "lane").where("label <> its").select(F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v"))
-            new = new.unionByName(led) if turn == 1 else led
-        else:
-            bound = written(_shareable(docs, key, text, nodes, far.select(F.col("node").alias("id")).distinct(), size), "bounds")
-            far = far.join(bound, "node")
-            left, right = (far.select("lane", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "label", "n", "m"))) for end in ("u", "v"))
-            most = F.least("m_u", "m_v")
-            both = left.join(right, "lane").where("node_u > node_v and label_u <> label_v").where(100 * most >= pct * (F.col("n_u") + F.col("n_v") - most))
-            new = both.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
-        new = written(_possible(new.distinct().join(tested, ["u", "v"], "left_anti"), nodes, pct), "pairs")
-        links = tree.unionByName(_verified(docs, key, text, new, size, pct))
-        tested = tested.unionByName(new)
+    links = written(_verified(docs, key, text, pairs, size, pct), "links")
     tree = components(links)
+
+    placed = lanes.join(tree, F.col("node") == F.col("u"), "left").select("lane", "node", F.coalesce("v", "node").alias("label"))
+    apart = placed.groupBy("lane").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("lane")
+    torn = written(placed.join(apart, "lane"), "torn")
+    bound = _shareable(docs, key, text, nodes, torn.select(F.col("node").alias("id")).distinct(), size).where(100 * F.col("m") >= pct * F.col("n"))
+    left = written(torn.join(bound.select("node", "n"), "node"), "left")
+    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    rank = F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("node").alias("rank"), "node")
+    hubs = left.join(degree, "node", "left").groupBy("lane").agg(F.max(rank).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("lane", F.col("hub.node").alias("leader"))
+    groups = written(left.join(hubs, "lane").select("leader", "node", "n", "label").distinct(), "families")
+    sets = written(_sets(docs, key, text, groups.select(F.col("node").alias("id")).distinct(), size), "shingles")
+    family = written(_centred(written(_xored(groups, sets), "deltas"), pct), "centred")
+    sure, near = _related(family, pct)
+    more = _verified(docs, key, text, written(_possible(near, nodes, pct), "pairs"), size, pct)
+    tree = components(tree.unionByName(sure).unionByName(more)).withColumnsRenamed({"u": "node", "v": "least"})
     classes = ready.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("node"))
-    tree = tree.withColumnsRenamed({"u": "node", "v": "least"})
     labels = classes.join(tree, "node", "left").select("n", "a", "b", F.coalesce("least", "node").alias("class"))
     out = ready.select("id", "n", "a", "b").join(labels, ["n", "a", "b"], "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("class", "id").alias("component_id"))
