@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from oddsmith.llm.common import dropped, written
@@ -20,14 +20,23 @@ def _star(pairs: DataFrame, small: bool) -> DataFrame:
     return moved.where("u > v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v) for each node u but the least of its component, v; edges: (u, v) of any order."""
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark["n"] == 0 or mark == before:
-            return now
-        nxt = written(_star(_star(now, small=False), small=True), "edges")
-        dropped(now)
-        now, before = nxt, mark
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(u, v) for each node u but the least of its component, v; edges: (u, v) of any order.
+
+    With rounds, it stops after so many: v is then some smaller node of the component.
+    """
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    (now, mark), before, done = _write(now), None, 0
+    while mark != before and mark[0] and done != rounds:
+        old, before = now, mark
+        (now, mark), done = _write(_star(_star(old, small=False), small=True)), done + 1
+        dropped(old)
+    return now
+
+
+def _write(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written edges, with their count and a sum of hashes, taken while writing."""
+    seen = Observation()
+    counted = edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    out, got = written(counted, "edges"), seen.get
+    return out, (got["n"], got["h"])

@@ -110,6 +110,12 @@ def test_jaccard(spark, size, pct):
             for _ in range(rng.choice([0, 1, 2, 6])):
                 t[rng.randrange(len(t))] = f"z{rng.randint(0, 5)}"
             rows.append((len(rows) * 7 + 1, " ".join(t)))
+    got = {r[0]: (r[1], r[2]) for r in jaccard.join(table(spark, rows).repartition(4), size=size, pct=pct).collect()}
+    assert got == linked(rows, size, pct)
+
+
+def linked(rows, size, pct):
+    """(set size, least id of the component) of each id, by brute force."""
     sets, holders = {}, defaultdict(list)
     for i, t in rows:
         w = t.lower().split()
@@ -128,8 +134,27 @@ def test_jaccard(spark, size, pct):
                 root[max(a, b)] = min(a, b)
         for x in s:
             holders[x].append(i)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("size", "pct", "centre"), [(3, 90, True), (3, 90, False), (5, 80, False)])
+def test_jaccard_family(spark, size, pct, centre):
+    """Hundreds of edits of one text, of which many don't link, with and without that text, among texts of a common passage."""
+    rng = random.Random(size + centre)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
+    rows = [(1, " ".join(base))] if centre else []
+    for k in range(300):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 9])):
+            at = rng.randrange(len(t))
+            t[at : at + 1] = rng.choice([[], [f"z{rng.randint(0, 9)}"], [f"z{rng.randint(0, 300)}"], [t[at], f"z{k}"]])
+        rows.append((10 + 3 * k, " ".join(t)))
+    passage = base[:40]
+    for k in range(60):
+        rows.append((2000 + k, " ".join(passage + [f"q{rng.randint(0, 2000)}" for _ in range(rng.choice([5, 30, 90]))])))
     got = {r[0]: (r[1], r[2]) for r in jaccard.join(table(spark, rows).repartition(4), size=size, pct=pct).collect()}
-    assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+    want = linked(rows, size, pct)
+    assert got == want and 20 < len({c for _, c in want.values()}) < 350
 
 
 def test_decontaminate(spark):
