@@ -9,15 +9,16 @@ LENGTH bytes that hold it. So
 1. anchors seen once cover nothing that repeats; a count drops them;
 2. of occurrences with equal contexts, all but the earliest repeat wholly;
 3. the earliest occurrences of an anchor's different contexts may share strings
-   in part. Their contexts are indexed by buckets of anchors: the suffixes are
+   in part. A shared string holds one of STEPS shorter strings around the anchor,
+   of 84 bytes or more; contexts of which no other has one go. The rest are indexed
+   by buckets of anchors: the suffixes are
    sorted, the Burrows-Wheeler transform is run-compressed, suffixes at the run
    ends are sampled and only there the match with the preceding suffix is
    measured; along the text, matching statistics follow from the last sampled
    ones (one byte less at each step). Suffixes that match for LENGTH bytes or
    more form intervals of the index; all but the earliest of each are marked.
-   Of an anchor with over INDEXED contexts, hashes (128 bits) of the strings are
-   grouped instead: in the task, or, as over `most_contexts` would fill one, by
-   Spark, which has no hot key then.
+   Of an anchor whose contexts would fill a task (over INDEXED of them), hashes
+   (128 bits) of the strings are grouped by Spark instead, so that no key is hot.
 
 Spans are united per document and cut out. Equality of anchors and contexts is
 judged by 128 bits of hashes.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmith.llm.bitmap import bitmap, marked
@@ -43,6 +44,8 @@ from oddsmith.llm.common import written
 LENGTH, K = 100, 32
 INDEXED = 4000
 SEGMENT, _CHUNK = 1 << 20, 1 << 19
+#: Bytes before and behind an anchor: a shared string has the bytes of one of these at least around its anchor.
+STEPS = [(0, 52), (17, 35), (34, 18), (51, 1), (68, 0)]
 _REACH = LENGTH - K  # an anchor's distance from the start of a string that holds it, at most
 _random = np.random.default_rng(20)
 _VALUE = _random.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,8 +158,9 @@ def _occurrences(sent, by_context: bool, with_bytes: bool):
                 names = ["h", "c", "id", "lo", "hi"]
                 if with_bytes:
                     data = f.data.tobytes()
+                    columns += [pa.array((f.pos - f.lo)[at])]
                     columns.append(pa.array([data[a:b] for a, b in zip(f.lo[at].tolist(), f.hi[at].tolist(), strict=True)], pa.binary()))
-                    names.append("bytes")
+                    names += ["at", "bytes"]
                 if len(at):
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -164,34 +168,38 @@ def _occurrences(sent, by_context: bool, with_bytes: bool):
 
 
 def _sorted_suffixes(symbols: np.ndarray, deepest: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffix array and the ranks by 7, 14, ... symbols; symbols end with terminators (0), equal suffixes go by place."""
+    """Suffix array and the ranks by 4, 8, ... symbols; symbols end with terminators (0), equal suffixes go by place.
+
+    Keys hold the place in their low bits, so that plain sorting orders places too.
+    """
     n = len(symbols)
-    padded = np.r_[symbols, np.zeros(7, np.int64)]
-    keys = np.zeros(n, np.int64)
-    alive = np.ones(n, bool)
-    for j in range(7):  # nothing counts behind a terminator
+    low = max(1, (n - 1).bit_length())
+    padded = np.r_[symbols, np.zeros(4, np.int64)]
+    keys, alive = np.zeros(n, np.int64), np.ones(n, bool)
+    for j in range(4):  # nothing counts behind a terminator
         s = np.where(alive, padded[j : j + n], 0)
         keys = keys << 9 | s
         alive &= s > 0
-    ranks, size = [], 7
-    left = np.zeros(n, np.int64)  # symbols up to the terminator
+    place = np.arange(n)
     ends = np.flatnonzero(symbols == 0)
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    left = np.repeat(ends, np.diff(np.r_[-1, ends])) - place  # symbols up to the terminator
+    ranks, size = [], 4
     while True:
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
+        k = np.sort(keys << low | place)
+        order = k & (1 << low) - 1
+        k >>= low
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[False, k[1:] != k[:-1]])
         ranks.append((size, rank))
         if size >= deepest or rank[order[-1]] == n - 1:
             return order, ranks
-        follow = np.where(left > size, rank[np.minimum(np.arange(n) + size, n - 1)] + 1, 0)
+        follow = np.where(left > size, rank[np.minimum(place + size, n - 1)] + 1, 0)
         keys = rank * (n + 1) + follow
         size *= 2
 
 
-def repeated(contexts: list[bytes], groups: list[int], ids: list[int], los: list[int]) -> np.ndarray:
-    """Which strings of LENGTH bytes, as places in the joined contexts (one byte between), also start earlier in their group."""
+def repeated(contexts: list[bytes], ids: list[int], los: list[int]) -> np.ndarray:
+    """Which strings of LENGTH bytes, as places in the joined contexts (one byte between), also start at an earlier (id, place in its text)."""
     sizes = np.array([len(c) + 1 for c in contexts])
     ends = np.cumsum(sizes)
     text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + 1
@@ -208,13 +216,13 @@ def repeated(contexts: list[bytes], groups: list[int], ids: list[int], los: list
     end_a, end_b = stop[a], stop[b]
     match = np.zeros(len(k), np.int64)
     for size, rank in reversed(ranks):
-        for _ in range(2 if size == 7 else 1):
+        for _ in range(2 if size == 4 else 1):
             i = np.flatnonzero((a + size <= end_a) & (b + size <= end_b))
             i = i[rank[a[i]] == rank[b[i]]]
             a[i] += size
             b[i] += size
             match[i] += size
-    for _ in range(6):
+    for _ in range(3):
         i = np.flatnonzero((a < end_a) & (b < end_b))
         i = i[text[a[i]] == text[b[i]]]
         a[i] += 1
@@ -227,14 +235,22 @@ def repeated(contexts: list[bytes], groups: list[int], ids: list[int], los: list
     place = np.maximum.accumulate(np.where(sampled >= 0, np.arange(n), 0))
     plcp = np.maximum(sampled[place], 0) - (np.arange(n) - place)
     joined = plcp[order] >= LENGTH
-    interval = np.cumsum(~joined)
-    group, ident, start = (np.repeat(np.array(x, np.int64), sizes)[order] for x in (groups, ids, np.array(los) - (ends - sizes)))
-    start += order
-    by = np.lexsort([start, ident, group, interval])  # contexts may overlap: one place may be there twice
-    interval, group, ident, start = interval[by], group[by], ident[by], start[by]
-    new = np.r_[True, (interval[1:] != interval[:-1]) | (group[1:] != group[:-1])]
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    return np.sort(order[by[(ident != ident[first]) | (start != start[first])]])
+    some = joined | np.r_[joined[1:], False]
+    new = np.flatnonzero(~joined[some])
+    if not len(new):
+        return new
+    order = order[some]
+    # the earliest of each interval; contexts may overlap, so one place may be there twice
+    known, rank = np.unique(np.array(ids, np.int64), return_inverse=True)
+    shift = np.array(los, np.int64) - (ends - sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[order]
+    start = shift[owner] + order
+    base = int(start.max()) + 1
+    if len(known) * base >= 1 << 63:
+        raise ValueError("texts too long for places of 63 bits")
+    at = rank[owner] * base + start
+    first = np.repeat(np.minimum.reduceat(at, new), np.diff(np.r_[new, len(at)]))
+    return np.sort(order[at != first])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +258,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for r in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
-            if held and r[0] != held[-1][0] and (size >= 400_000 or r[4] > INDEXED):
+        for r in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
+            if held and r[0] != held[-1][0] and size >= 400_000:
                 yield from _spans(held)
                 held, size = [], 0
             held.append(r)
@@ -253,10 +269,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    if len(rows) > INDEXED and rows[0][0] == rows[-1][0]:
-        yield from _grouped(rows)
-        return
-    at = repeated([r[3] for r in rows], *([r[j] for r in rows] for j in range(3)))
+    at = repeated([r[3] for r in rows], *([r[j] for r in rows] for j in (1, 2)))
     if not len(at):
         return
     sizes = np.array([len(r[3]) + 1 for r in rows])
@@ -288,17 +301,6 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(pa.array, _hashed(np.asarray(rows.column(1)), np.asarray(rows.column(2)), rows.column(3).to_pylist()))], names=["a", "b", "id", "lo"])
 
 
-def _grouped(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """As _spans, of one anchor's contexts that are too many for a suffix array."""
-    parts = [_hashed(np.array([r[1] for r in some]), np.array([r[2] for r in some]), [r[3] for r in some]) for some in (rows[k : k + 2000] for k in range(0, len(rows), 2000))]
-    a, b, ids, lo = (np.concatenate(x) for x in zip(*parts, strict=True))
-    by = np.lexsort([lo, ids, b, a])
-    a, b, ids, lo = a[by], b[by], ids[by], lo[by]
-    first = np.maximum.accumulate(np.where(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])], np.arange(len(a)), 0))
-    again = (ids != ids[first]) | (lo != lo[first])
-    yield pa.RecordBatch.from_arrays([pa.array(ids[again]), pa.array(lo[again]), pa.array(lo[again] + LENGTH)], names=["id", "lo", "hi"])
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done, out = 0, []
@@ -331,7 +333,40 @@ def _result(batch: pa.RecordBatch, start: int, out: list[tuple]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most_contexts: int = 50_000, bits: int = 27) -> DataFrame:
+def _around() -> F.Column:
+    """Hashes of the strings of STEPS of a context (h, at, bytes), as far as it has their bytes."""
+    inside = lambda left, right: (F.col("at") >= left) & (F.length("bytes") - F.col("at") >= K + right)
+    part = lambda left, right: F.col("bytes").substr(F.col("at").cast("int") + F.lit(1 - left), F.lit(left + K + right))
+    return F.array_compact(F.array(*(F.when(inside(*x), F.xxhash64(F.lit(j), "h", part(*x))) for j, x in enumerate(STEPS))))
+
+
+def _in_company(texts: DataFrame, bits: int) -> DataFrame:
+    """The contexts (h, id, lo, bytes) of which another has one of the strings of STEPS; a few others may stay."""
+    keyed = texts.withColumn("keys", _around())
+    shared = keyed.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    sent = bitmap(shared, "k", bits)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(4)
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            some = np.unique(owner[marked(sent.value, np.asarray(lists.flatten()))])
+            yield batch.select([0, 1, 2, 3]).take(pa.array(some))
+
+    return keyed.select("h", "id", "lo", "bytes", "keys").mapInArrow(find, "h long, id long, lo long, bytes binary")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """(id, spans): overlapping and touching spans (id, lo, hi) are made one before they are gathered."""
+    order = Window.partitionBy("id").orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("new", F.when(F.col("lo") > F.coalesce(reach, F.lit(-1)), 1).otherwise(0))
+    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("id", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return runs.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+
+
+def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bits: int = 27) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row; kept: the remaining bytes."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text).alias("text"))
     counted = rows.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -341,16 +376,18 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most_cont
     first = seen.groupBy("h", "c").agg(F.min(F.struct("id", "lo")).alias("first"))
     whole = seen.join(first, ["h", "c"]).where((F.col("id") != F.col("first.id")) | (F.col("lo") != F.col("first.lo"))).select("id", "lo", "hi")
     several = first.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    reps = written(first.join(several, "h").select("h", "c", F.col("first.id").alias("id"), F.col("first.lo").alias("lo"), "contexts"), "contexts")
-    withbytes = rows.mapInArrow(_occurrences(bitmap(reps, "c", bits), True, True), "h long, c long, id long, lo long, hi long, bytes binary")
-    texts = withbytes.drop("hi").join(reps, ["h", "c", "id", "lo"]).select("h", "c", "id", "lo", "bytes", "contexts").dropDuplicates(["h", "c", "id", "lo"])
-    texts = written(texts, "texts")
+    reps = written(first.join(several, "h").select("h", "c", F.col("first.id").alias("id"), F.col("first.lo").alias("lo")), "contexts")
+    withbytes = rows.mapInArrow(_occurrences(bitmap(reps, "c", bits), True, True), "h long, c long, id long, lo long, hi long, at long, bytes binary")
+    texts = withbytes.drop("hi").join(reps, ["h", "c", "id", "lo"], "left_semi").drop("c").dropDuplicates(["h", "id", "lo"])
+    texts = written(_in_company(written(texts, "texts"), bits), "company")
+    sizes = texts.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    sized = texts.join(sizes, "h")
     spans = "id long, lo long, hi long"
-    parts = [whole, texts.where(F.col("contexts") <= most_contexts).drop("c").repartition("h").sortWithinPartitions("h", "id", "lo").mapInArrow(_index, spans)]
-    hot = texts.where(F.col("contexts") > most_contexts).drop("c", "contexts").mapInArrow(_strings, "a long, b long, id long, lo long")
+    parts = sized.where(F.col("contexts") <= INDEXED).drop("contexts").repartition("h").sortWithinPartitions("h", "id", "lo").mapInArrow(_index, spans)
+    hot = sized.where(F.col("contexts") > INDEXED).drop("contexts").mapInArrow(_strings, "a long, b long, id long, lo long")
     earliest = hot.groupBy("a", "b").agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = hot.join(earliest, ["a", "b"]).where((F.col("id") != F.col("first.id")) | (F.col("lo") != F.col("first.lo")))
-    parts.append(again.select("id", "lo", (F.col("lo") + LENGTH).alias("hi")))
-    gone = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    again = again.select("id", "lo", (F.col("lo") + LENGTH).alias("hi"))
+    gone = _merged(whole.unionByName(parts).unionByName(again))
     cut = rows.join(gone, "id", "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return cut.withColumn("id", F.nullif("id", F.lit(_NO_ID))).withColumnRenamed("id", key)

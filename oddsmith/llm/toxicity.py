@@ -2,12 +2,18 @@
 
 The kernel counts common subsequences of three characters, each occurrence
 weighed by DECAY to the power of the length it spans, normalised to 1 for equal
-words; so `idiot` is near `idXiot` and `i.d.i.o.t`. Words are tokens without
-their symbols, lower-cased, and runs of single characters between spaces, joined.
-Landmarks are words of the labelled sample that mark the label (chi-square). A
-text's features are its words' largest kernel values per landmark (values below
-FLOOR count as none) and these to the power SHARP (a product of kernels is a
-kernel), each mapped by the landmarks' kernel matrix to the power -1/2 (Nyström). A linear SVM is fitted to them (hinge
+words; so `idiot` is near `idXiot` and `i.d.i.o.t`. Values below FLOOR count as
+none. Powers of it are kernels too (products): the SHARP-th keeps near words apart
+from the rest, the BLUNT-th lets far variants count. Words are tokens without their symbols, lower-cased, and runs of single
+characters between spaces, joined.
+
+Landmarks are words of the labelled sample: those that mark label 1 most
+(chi-square), none too near one taken before, and the most common ones of label 0.
+A word is mapped by its kernel values with them and their kernel matrix to the
+power -1/2 (Nyström). A text has two vectors: the mean over all its words (the
+kernel between texts is then the mean of that between their words; WEIGHT more
+words that are near no landmark keep a single word of a short text from saying too
+much), sharp, and the largest value of each landmark, blunt and weighed by SHARE. A linear SVM is fitted to them (hinge
 loss, full-batch subgradient), its margins turned to scores by a logistic fit.
 
 The fit sees at most max_pos and max_neg distinct texts of the labels, those with
@@ -31,8 +37,8 @@ from pyspark.sql import functions as F
 
 from oddsmith.llm.common import chunks, distinct_sample, text_hash
 
-#: Two characters put into a word of four letters leave it 0.37 (scxuxm), clean words are mostly below.
-DECAY, FLOOR, PIECE, ORDER, SHARP = 0.9, 0.35, 24, 3, 6
+#: Two characters put into a word of four letters leave it 0.37 (scxuxm).
+DECAY, FLOOR, PIECE, ORDER, SHARP, BLUNT, WEIGHT, SHARE, APART = 0.9, 0.36, 24, 3, 8, 2, 100, 1.0, 0.62
 _CACHE = 300_000
 _strip = re.compile(r"[\W_]+").sub
 _spelled = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)").findall
@@ -133,15 +139,15 @@ def pieces(word: str) -> list[str]:
     return [word] if len(word) <= PIECE else [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
 
 
-def tokens(text: str) -> set[str]:
-    found = set(text.split())
+def tokens(text: str) -> list[str]:
+    found = text.split()
     for run in _spelled(text):
-        found.add(run.replace(" ", ""))
+        found.append(run.replace(" ", ""))
     return found
 
 
 class Pooler:
-    """Largest kernel value per landmark over a text's words; values of words are kept, up to _CACHE of them."""
+    """Mean and largest kernel values of texts' words per landmark; values of words are kept, up to _CACHE of them."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = Landmarks(landmarks, FLOOR)
@@ -149,7 +155,7 @@ class Pooler:
 
     def clear(self) -> None:
         self.of: dict[str, int] = {}
-        self.rows = [np.zeros((1, len(self.landmarks.words)), np.float32)]
+        self.rows = [np.zeros((1, 2 * len(self.landmarks.words)), np.float32)]
         self.size = 1
 
     def learn(self, new: set[str]) -> None:
@@ -162,7 +168,7 @@ class Pooler:
             values[values < FLOOR] = 0
             some = np.flatnonzero(values.any(1))
             row = {parts[i]: k + self.size for k, i in enumerate(some.tolist())}
-            self.rows.append(values[some])
+            self.rows.append(np.hstack([values[some] ** SHARP, values[some] ** BLUNT]))
             self.size += len(some)
         for t, w in words.items():
             at = [row[p] for p in pieces(w) if p in row]
@@ -172,46 +178,39 @@ class Pooler:
                 at, self.size = [self.size], self.size + 1
             self.of[t] = at[0] if at else 0
 
-    def pool(self, texts: list[str | None]) -> np.ndarray:
-        sets = [tokens(t) if t else set() for t in texts]
-        new = set().union(*sets).difference(self.of)
+    def pool(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [tokens(t) if t else [] for t in texts]
+        new = set().union(*lists).difference(self.of)
         if len(new) + len(self.of) > _CACHE:
             self.clear()
-            new = set().union(*sets)
+            new = set().union(*lists)
         if new:
             self.learn(new)
         table = np.concatenate(self.rows)
         self.rows = [table]
-        out = np.zeros((len(texts), len(self.landmarks.words)), np.float32)
-        for i, s in enumerate(sets):
-            at = set(map(self.of.__getitem__, s))
-            at.discard(0)
-            if at:
-                out[i] = table[list(at)].max(0)
-        return out
+        n = len(self.landmarks.words)
+        mean, most = (np.zeros((len(texts), n), np.float32) for _ in range(2))
+        for i, words in enumerate(lists):
+            at = np.fromiter(map(self.of.__getitem__, words), np.int64, len(words))
+            at = at[at > 0]
+            if len(at):
+                mean[i] = table[at, :n].sum(0) / (len(words) + WEIGHT)
+                most[i] = table[np.unique(at), n:].max(0)
+        return mean, most
 
 
-def _features(pooled: np.ndarray, root: np.ndarray) -> np.ndarray:
-    return np.hstack([pooled @ root, pooled**SHARP @ root, np.ones((len(pooled), 1))])
+def _features(pooled: tuple[np.ndarray, np.ndarray], roots: list[np.ndarray]) -> np.ndarray:
+    mean, most = pooled
+    return np.hstack([WEIGHT * mean @ roots[0], SHARE * most @ roots[1], np.ones((len(mean), 1))])
 
 
-def train(labelled: DataFrame, text: str, label: str, *, hashed: DataFrame | None = None, max_pos: int = 1500, max_neg: int = 3000, most_landmarks: int = 64, seed: int = 5) -> dict:
-    """The model, fitted on a bounded sample of the distinct texts with label 0 or 1.
+def _root(gram: np.ndarray) -> np.ndarray:
+    value, vector = np.linalg.eigh(gram)
+    return vector / np.sqrt(np.maximum(value, 1e-2)) @ vector.T
 
-    hashed: the labelled rows with a and b, their text_hash by `seed`, in place of
-    the text; labelled then need only hold the texts.
-    """
-    known = labelled.select(label, *text_hash(F.col(text), seed)) if hashed is None else hashed
-    known = known.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), "a", "b")
-    n, chosen = distinct_sample(known, F.when(F.col("label") == 1, max_pos).otherwise(max_neg), 2)
-    rate = n.get(1, 0) / max(1, sum(n.values()))
-    if not (n.get(0) and n.get(1)):
-        return {"landmarks": [], "base": float(rate)}
-    chosen = labelled.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
-    texts = labelled.select(F.col(text).alias("text"), *text_hash(F.col(text), seed)).join(F.broadcast(chosen), ["a", "b"])
-    got = texts.groupBy("label", "a", "b").agg(F.first("text").alias("text")).orderBy("label", "a", "b").toPandas()
-    y, texts = got["label"].to_numpy(), got["text"].tolist()
-    sets = [{w for t in (tokens(x) if x else ()) if ORDER <= len(w := normal(t)) <= PIECE} for x in texts]
+
+def _landmarks(sets: list[set[str]], y: np.ndarray, most: int) -> list[str]:
+    """Words that mark label 1, `most` at most, and a quarter as many common words of label 0, each kind apart from one another."""
     pos, neg = Counter(), Counter()
     for s, k in zip(sets, y, strict=True):
         (pos if k else neg).update(s)
@@ -223,22 +222,39 @@ def train(labelled: DataFrame, text: str, label: str, *, hashed: DataFrame | Non
         return (p - q) ** 2 / (m * (1 - m) * (1 / a + 1 / b)) if p > q and m < 1 else 0.0
 
     ranked = sorted(((chi(w), w) for w, c in pos.items() if c >= 2), key=lambda x: (-x[0], x[1]))
-    least = max(10.0, 0.03 * ranked[0][0]) if ranked else 0
-    landmarks = [w for c, w in ranked[:most_landmarks] if c >= least]
+    marks = [w for c, w in ranked if c >= 10][: 8 * most]
+    common = sorted((w for w in neg if len(w) > ORDER), key=lambda w: (-neg[w], w))[: 4 * most]
+    return _spread(marks, most) + _spread([w for w in common if w not in marks], most // 4 if marks else 0)
+
+
+def _spread(words: list[str], most: int) -> list[str]:
+    """The first words of which none is near another."""
+    taken: list[str] = []
+    near = Landmarks(words).kernel(words) if words else None
+    for i, w in enumerate(words):
+        if len(taken) < most and all(near[i, words.index(t)] < APART for t in taken):
+            taken.append(w)
+    return taken
+
+
+def fit(texts: list[str | None], y: np.ndarray, most_landmarks: int) -> dict:
+    """The model of texts with both labels (1 or 0)."""
+    sets = [{w for t in (tokens(x) if x else ()) if ORDER <= len(w := normal(t)) <= PIECE} for x in texts]
+    landmarks = _landmarks(sets, y, most_landmarks)
     if not landmarks:
-        return {"landmarks": [], "base": float(rate)}
-    value, vector = np.linalg.eigh(Landmarks(landmarks).kernel(landmarks).astype(float))
-    root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-    x = _features(Pooler(landmarks).pool(texts), root)
+        return {"landmarks": []}
+    gram = Landmarks(landmarks).kernel(landmarks).astype(float)
+    roots = [_root(gram**SHARP), _root(gram**BLUNT)]
+    x = _features(Pooler(landmarks).pool(texts), roots)
     sign = np.where(y == 1, 1.0, -1.0)
-    cost = np.where(y == 1, 0.5 / a, 0.5 / b)
+    cost = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w, mean = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    for step in range(1, 2001):
+    for step in range(1, 6001):
         inside = sign * (x @ w) < 1
-        grad = 1e-3 * w - (cost * sign * inside) @ x
+        grad = 1e-5 * w - (cost * sign * inside) @ x
         w -= 2.0 / np.sqrt(step) * grad
-        if step > 1000:
-            mean += w / 1000
+        if step > 3000:
+            mean += w / 3000
     margin = x @ mean
     slope, bias = 1.0, 0.0
     for _ in range(500):  # logistic fit of the margins
@@ -246,7 +262,31 @@ def train(labelled: DataFrame, text: str, label: str, *, hashed: DataFrame | Non
         g = (p - (y == 1)) * cost
         slope -= 4 * (g @ margin)
         bias -= 4 * g.sum()
-    return {"landmarks": landmarks, "root": root, "w": mean, "slope": float(slope), "bias": float(bias), "base": float(rate)}
+    return {"landmarks": landmarks, "roots": roots, "w": mean, "slope": float(slope), "bias": float(bias)}
+
+
+def scores(texts: list[str | None], model: dict, pooler: Pooler) -> np.ndarray:
+    margin = _features(pooler.pool(texts), model["roots"]) @ model["w"]
+    return 1 / (1 + np.exp(-np.clip(model["slope"] * margin + model["bias"], -30, 30)))
+
+
+def train(labelled: DataFrame, text: str, label: str, *, hashed: DataFrame | None = None, max_pos: int = 1500, max_neg: int = 3000, most_landmarks: int = 40, seed: int = 5) -> dict:
+    """The model, fitted on a bounded sample of the distinct texts with label 0 or 1.
+
+    hashed: the labelled rows with a and b, their text_hash by `seed`, in place of
+    the text; labelled then need only hold the texts.
+    """
+    known = labelled.select(label, *text_hash(F.col(text), seed)) if hashed is None else hashed
+    known = known.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), "a", "b")
+    n, chosen = distinct_sample(known, F.when(F.col("label") == 1, max_pos).otherwise(max_neg), 2)
+    rate = n.get(1, 0) / max(1, sum(n.values()))
+    if not (n.get(0) and n.get(1)):
+        return {"landmarks": [], "base": float(rate)}
+    chosen = labelled.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
+    texts = labelled.select(F.col(text).alias("text"), *text_hash(F.col(text), seed)).join(F.broadcast(chosen), ["a", "b"])
+    got = texts.groupBy("label", "a", "b").agg(F.first("text").alias("text")).orderBy("label", "a", "b").toPandas()
+    y, texts = got["label"].to_numpy(), got["text"].tolist()
+    return fit(texts, y, most_landmarks) | {"base": float(rate)}
 
 
 _kept: dict[str, Pooler] = {}
@@ -268,8 +308,7 @@ def score(docs: DataFrame, key: Column, text: Column, model: dict) -> DataFrame:
         for batch in batches:
             for a, b, texts in chunks(batch, 1, 2_000_000):
                 if m["landmarks"]:
-                    margin = _features(pooler.pool(texts), m["root"]) @ m["w"]
-                    p = 1 / (1 + np.exp(-np.clip(m["slope"] * margin + m["bias"], -30, 30)))
+                    p = scores(texts, m, pooler)
                 else:
                     p = np.full(b - a, m["base"])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p.astype(float))], names=["key", "score"])

@@ -82,9 +82,9 @@ def texts_with_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("how", [{}, {"indexed": 2}, {"most_contexts": 2, "bits": 15}])
+@pytest.mark.parametrize("how", [{}, {"indexed": 2}, {"bits": 15}])
 def test_substrings(spark, monkeypatch, how):
-    monkeypatch.setattr(substrings, "INDEXED", how.pop("indexed", 4000))
+    monkeypatch.setattr(substrings, "INDEXED", how.pop("indexed", substrings.INDEXED))
     rows, seen, want = texts_with_copies(5), set(), {}
     for i, t in rows:
         b = t.encode()
