@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
-    """left with the last `value` of right at or before `at` (ties: right comes first). One shuffle on `by`, no pairs."""
-    both = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).unionByName(right.select(by, at, F.col(value).alias("_v")).withColumn("_side", F.lit(0)), allowMissingColumns=True)
+def asof(left: DataFrame, right: DataFrame, by: str, at: str, value: str, *tie: str) -> DataFrame:
+    """left with the last `value` of right at or before `at`. One shuffle on `by`, no pairs.
+
+    Of right rows at one time, the last by `tie` (columns of right), then by value, counts; a null value counts as none.
+    """
+    order = F.struct(*tie, value) if tie else F.struct(value)
+    late = right.where(F.col(value).isNotNull()).groupBy(by, at).agg(F.max_by(value, order).alias("_v")).withColumn("_side", F.lit(0))
+    both = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).unionByName(late, allowMissingColumns=True)
     w = Window.partitionBy(by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_v")
 
 
 def future(value: Column, by: str, *order: str) -> Column:
-    """value over the strictly later rows."""
-    return value.over(Window.partitionBy(by).orderBy(*order).rowsBetween(1, Window.unboundedFollowing))
+    """value over the strictly later rows: a running aggregate from the end, as a frame to the end would be worked out anew for each row."""
+    return value.over(Window.partitionBy(by).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1))
 
 
 def bucket_last(rows: DataFrame, by: str, at: str, value: str, seconds: int, *tie: str) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsmith.functions import classify
 from oddsmith.operators import clean, ordered
 from oddsmith.sources import adapters as src
 
@@ -55,49 +54,11 @@ POS = ("markets", "trades", "positions")
 JOINED = "(SELECT t.*, family, event_ticker, result FROM trades t JOIN markets USING (market_key) WHERE status = 'finalized' AND result IN ('yes', 'no'))"
 
 
-@analysis("SELECT (SELECT count(*) FROM trades) AS n_trades, (SELECT count(*) FROM markets) AS n_markets, (SELECT count(DISTINCT market_key) FROM trades) AS traded_markets, (SELECT sum(count)::BIGINT FROM trades) AS contracts", "markets", "trades")
-def meta_stats(spark, d):
-    t = src.trades(spark, d).agg(F.count("*").alias("n_trades"), F.count_distinct("market_key").alias("traded_markets"), F.sum("count").alias("contracts"))
-    return t.join(src.markets(spark, d).agg(F.count("*").alias("n_markets")), how="cross")  # a row each
-
-
 @analysis("SELECT strftime(date_trunc('quarter', created_time), '%Y-%m-%d') AS quarter, sum(count)::BIGINT AS volume_usd FROM trades GROUP BY 1", "trades")
 def volume_over_time(spark, d):
     return src.trades(spark, d).groupBy(_quarter().alias("quarter")).agg(F.sum("count").alias("volume_usd"))
 
 
-@analysis(
-    "SELECT price, count(*) FILTER (role = 'taker') AS taker_trades, sum(won) FILTER (role = 'taker')::BIGINT AS taker_wins, count(*) FILTER (role = 'maker') AS maker_trades, sum(won) FILTER (role = 'maker')::BIGINT AS maker_wins, count(*) AS trades, round(100.0 * sum(won) / count(*), 9) AS win_rate, round(100.0 * sum(won) / count(*) - price, 9) AS mispricing_pp FROM positions GROUP BY price",
-    *POS,
-)
-def mispricing_by_price(spark, d):
-    one = lambda role: (F.count_if(F.col("role") == role).alias(f"{role}_trades"), F.sum(F.when(F.col("role") == role, F.col("won"))).alias(f"{role}_wins"))
-    out = _pos(spark, d).groupBy("price").agg(*one("taker"), *one("maker"), F.count("*").alias("trades"), (100.0 * F.sum("won") / F.count("*")).alias("w"))
-    return out.select("price", "taker_trades", "taker_wins", "maker_trades", "maker_wins", "trades", _r(F.col("w")).alias("win_rate"), _r(F.col("w") - F.col("price")).alias("mispricing_pp"))
-
-
-@analysis(
-    """SELECT price, round(avg(e) FILTER (role = 'taker'), 9) AS taker_excess, round(avg(e) FILTER (role = 'maker'), 9) AS maker_excess, round(var_samp(e) FILTER (role = 'taker'), 9) AS taker_var, round(var_samp(e) FILTER (role = 'maker'), 9) AS maker_var,
-round((avg(e) FILTER (role = 'taker') - avg(e) FILTER (role = 'maker')) / sqrt(var_samp(e) FILTER (role = 'taker') / count(*) FILTER (role = 'taker') + var_samp(e) FILTER (role = 'maker') / count(*) FILTER (role = 'maker')), 6) AS z FROM (SELECT *, won - price / 100.0::DOUBLE AS e FROM positions) GROUP BY price""",
-    *POS,
-)
-def maker_vs_taker_returns(spark, d):
-    p = _pos(spark, d).withColumn("e", _excess())
-    of = lambda f, role: f(F.when(F.col("role") == role, F.col("e")))
-    a = p.groupBy("price").agg(*(of(f, r).alias(f"{r}_{n}") for r in ("taker", "maker") for n, f in (("excess", F.avg), ("var", F.var_samp), ("n", F.count))))
-    z = (F.col("taker_excess") - F.col("maker_excess")) / F.sqrt(F.col("taker_var") / F.col("taker_n") + F.col("maker_var") / F.col("maker_n"))
-    return a.select("price", *(_r(F.col(c)).alias(c) for c in ("taker_excess", "maker_excess", "taker_var", "maker_var")), _r(z, 6).alias("z"))
-
-
-@analysis(
-    "SELECT price, round(avg(won) FILTER (side = 'yes') * 100, 9) AS yes_win_rate, round(avg(won) FILTER (side = 'no') * 100, 9) AS no_win_rate, count(*) FILTER (side = 'yes') AS yes_n, count(*) FILTER (side = 'no') AS no_n, sum(count) FILTER (side = 'yes')::BIGINT AS yes_contracts FROM positions WHERE role = 'maker' GROUP BY price", *POS
-)
-def maker_win_rate_by_direction(spark, d):
-    p = _pos(spark, d).where("role = 'maker'")
-    on = lambda side, c: F.when(F.col("side") == side, F.col(c))
-    return p.groupBy("price").agg(*(_r(F.avg(on(s, "won")) * 100).alias(f"{s}_win_rate") for s in ("yes", "no")), *(F.count(on(s, "won")).alias(f"{s}_n") for s in ("yes", "no")), F.sum(on("yes", "count")).alias("yes_contracts"))
-
-
 @analysis(
     "SELECT coalesce(y.price, n.price) AS price, yes_return, no_return, round(yes_return - no_return, 9) AS diff FROM (SELECT price, round(avg(won - price / 100.0::DOUBLE), 9) AS yes_return FROM positions WHERE role = 'maker' AND side = 'yes' GROUP BY price) y FULL JOIN (SELECT price, round(avg(won - price / 100.0::DOUBLE), 9) AS no_return FROM positions WHERE role = 'maker' AND side = 'no' GROUP BY price) n ON y.price = n.price", *POS
 )
@@ -106,96 +67,11 @@ def maker_returns_by_direction(spark, d):
     return p.withColumn("diff", _r(F.col("yes_return") - F.col("no_return")))
 
 
-@analysis(
-    "SELECT quarter, round(t, 9) AS taker_return, round(m, 9) AS maker_return, round(100 * (m - t), 9) AS gap_pp, n_trades, volume_usd FROM (SELECT strftime(date_trunc('quarter', created_time), '%Y-%m-%d') AS quarter, sum(count * e) FILTER (role = 'taker') / sum(count) FILTER (role = 'taker') AS t, sum(count * e) FILTER (role = 'maker') / sum(count) FILTER (role = 'maker') AS m, count(*) FILTER (role = 'taker') AS n_trades, sum(count) FILTER (role = 'taker')::BIGINT AS volume_usd FROM (SELECT *, won - price / 100.0::DOUBLE AS e FROM positions) GROUP BY 1 HAVING count(*) >= 100)",
-    *POS,
-)
-def maker_taker_gap_over_time(spark, d):
-    of = lambda role, c: F.sum(F.when(F.col("role") == role, c))
-    a = _pos(spark, d).groupBy(_quarter().alias("quarter")).agg(*((of(r, F.col("count") * _excess()) / of(r, F.col("count"))).alias(r) for r in ("taker", "maker")), F.count_if(F.col("role") == "taker").alias("n_trades"), of("taker", F.col("count")).alias("volume_usd"), F.count("*").alias("n"))
-    return a.where("n >= 100").select("quarter", _r(F.col("taker")).alias("taker_return"), _r(F.col("maker")).alias("maker_return"), _r(100 * (F.col("maker") - F.col("taker"))).alias("gap_pp"), "n_trades", "volume_usd")
-
-
-@analysis(
-    f"SELECT p.price, round(100.0 * sum(c) FILTER (result = 'yes') / sum(c), 9) AS yes_win_rate, round(100.0 * coalesce(sum(c) FILTER (result = 'yes'), 0) / sum(c) - p.price, 9) AS yes_ev, sum(c)::BIGINT AS yes_contracts FROM range(1, 100) p(price) LEFT JOIN (SELECT yes_price, result, sum(count) AS c FROM {JOINED} GROUP BY ALL) j ON yes_price = p.price GROUP BY p.price",
-    "markets",
-    "trades",
-)
-def ev_yes_vs_no(spark, d):
-    spine = spark.range(1, 100).withColumnRenamed("id", "price")
-    j = _joined(spark, d).groupBy(F.col("yes_price").alias("price")).agg(F.sum("count").alias("yes_contracts"), F.sum(F.when(F.col("result") == "yes", F.col("count"))).alias("w"))
-    rate = 100.0 * F.col("w") / F.col("yes_contracts")
-    return spine.join(j, "price", "left").select("price", _r(rate).alias("yes_win_rate"), _r(100.0 * F.coalesce("w", F.lit(0)) / F.col("yes_contracts") - F.col("price")).alias("yes_ev"), "yes_contracts")
-
-
 @analysis("SELECT price, sum(count) FILTER (role = 'taker' AND side = 'yes')::BIGINT AS taker_yes, sum(count) FILTER (role = 'taker' AND side = 'no')::BIGINT AS taker_no, sum(count) FILTER (role = 'maker' AND side = 'yes')::BIGINT AS maker_yes, sum(count) FILTER (role = 'maker' AND side = 'no')::BIGINT AS maker_no, sum(count)::BIGINT AS total FROM positions GROUP BY price", *POS)
 def yes_vs_no_by_price(spark, d):
     return _pos(spark, d).groupBy("price").agg(*(F.sum(F.when((F.col("role") == r) & (F.col("side") == s), F.col("count"))).alias(f"{r}_{s}") for r in ("taker", "maker") for s in ("yes", "no")), F.sum("count").alias("total"))
 
 
-@analysis("SELECT weekday, round(avg(won), 9) AS win_rate, round(avg(e), 9) AS excess_return, round(var_samp(e), 9) AS var_excess, round(sqrt(var_samp(e) / count(*)), 9) AS se, round(avg(e) - 1.96 * sqrt(var_samp(e) / count(*)), 9) AS ci_low, round(avg(e) + 1.96 * sqrt(var_samp(e) / count(*)), 9) AS ci_high, count(*) AS n_trades FROM (SELECT *, dayofweek(created_time) + 1 AS weekday, won - price / 100.0::DOUBLE AS e FROM positions WHERE role = 'taker') GROUP BY 1", *POS)
-def returns_by_weekday(spark, d):
-    p = _pos(spark, d).where("role = 'taker'").withColumn("e", _excess())
-    se = F.sqrt(F.var_samp("e") / F.count("*"))
-    return p.groupBy(F.dayofweek("created_time").cast("long").alias("weekday")).agg(_r(F.avg("won")).alias("win_rate"), _r(F.avg("e")).alias("excess_return"), _r(F.var_samp("e")).alias("var_excess"), _r(se).alias("se"), _r(F.avg("e") - 1.96 * se).alias("ci_low"), _r(F.avg("e") + 1.96 * se).alias("ci_high"), F.count("*").alias("n_trades"))
-
-
-@analysis("SELECT hour(ts)::BIGINT AS hour, round(sum(price * count) / sum(count), 9) AS vwap, sum(count)::BIGINT AS total_contracts, count(*) AS n_trades, round(avg(price), 9) AS avg_price, round(stddev_samp(price), 9) AS std_price FROM prints GROUP BY 1", "prints")
-def vwap_by_hour(spark, d):
-    p = src.prints(spark, d)
-    return p.groupBy(F.hour("ts").cast("long").alias("hour")).agg(_r(F.sum(F.col("price") * F.col("count")) / F.sum("count")).alias("vwap"), F.sum("count").alias("total_contracts"), F.count("*").alias("n_trades"), _r(F.avg("price")).alias("avg_price"), _r(F.stddev_samp("price")).alias("std_price"))
-
-
-@analysis(
-    "SELECT role, round(avg(w), 9) AS mean, round(median(w), 9) AS median, round(stddev_samp(w), 9) AS std, round(quantile_cont(w, 0.25), 9) AS p25, round(quantile_cont(w, 0.75), 9) AS p75, round(quantile_cont(w, 0.9), 9) AS p90, round(quantile_cont(w, 0.95), 9) AS p95, count(*) AS n_trades FROM (SELECT role, count * price / 100.0::DOUBLE AS w FROM positions) GROUP BY role",
-    *POS,
-)
-def trade_size_by_role(spark, d):
-    p = _pos(spark, d).withColumn("w", _weight())
-    return p.groupBy("role").agg(_r(F.avg("w")).alias("mean"), _r(F.median("w")).alias("median"), _r(F.stddev_samp("w")).alias("std"), *(_r(F.percentile("w", q)).alias(n) for n, q in (("p25", 0.25), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95))), F.count("*").alias("n_trades"))
-
-
-@analysis("SELECT bin, round(avg(won), 9) AS win_rate, round(avg(price / 100.0::DOUBLE), 9) AS expected_win_rate, count(*) AS n_trades FROM (SELECT *, CASE WHEN count < 10 THEN '1-9' WHEN count < 25 THEN '10-24' ELSE '25+' END AS bin FROM positions WHERE role = 'taker') GROUP BY bin HAVING count(*) >= 30", *POS)
-def win_rate_by_trade_size(spark, d):
-    size = F.when(F.col("count") < 10, "1-9").when(F.col("count") < 25, "10-24").otherwise("25+")
-    return _pos(spark, d).where("role = 'taker'").groupBy(size.alias("bin")).agg(_r(F.avg("won")).alias("win_rate"), _r(F.avg(F.col("price") / 100.0)).alias("expected_win_rate"), F.count("*").alias("n_trades")).where("n_trades >= 30")
-
-
-@analysis("SELECT strftime(date_trunc('quarter', created_time), '%Y-%m-%d') AS quarter, round(100.0 * coalesce(sum(count) FILTER (yes_price <= 20), 0) / sum(count), 9) AS longshot_share, sum(count)::BIGINT AS total_volume FROM trades GROUP BY 1", "trades")
-def longshot_share(spark, d):
-    return src.trades(spark, d).groupBy(_quarter().alias("quarter")).agg(_r(100.0 * F.coalesce(F.sum(F.when(F.col("yes_price") <= 20, F.col("count"))), F.lit(0)) / F.sum("count")).alias("longshot_share"), F.sum("count").alias("total_volume"))
-
-
-@analysis("SELECT strftime(date_trunc('quarter', created_time), '%Y-%m-%d') AS quarter, " + ", ".join(f"coalesce(sum(count) FILTER ((yes_price - 1) // 10 = {k}), 0)::BIGINT AS b{k}" for k in range(10)) + " FROM trades GROUP BY 1", "trades")
-def longshot_bucket_pivot(spark, d):
-    t = src.trades(spark, d).withColumn("bucket", F.concat(F.lit("b"), F.floor((F.col("yes_price") - 1) / 10).cast("string")))
-    return t.groupBy(_quarter().alias("quarter")).pivot("bucket", [f"b{k}" for k in range(10)]).agg(F.sum("count")).na.fill(0)
-
-
-_sport_sql = classify.first_match_sql("replace(family, 'KX', '')", classify.SPORTS, "'Other'")
-_kind_sql = classify.first_match_sql("replace(family, 'KX', '')", classify.KINDS, "'other'")
-
-
-def _classified(rows: DataFrame) -> DataFrame:
-    f = F.regexp_replace("family", "^KX", "")
-    return rows.withColumn("sport", classify.first_match(f, classify.SPORTS, "Other")).withColumn("kind", classify.first_match(f, classify.KINDS, "other"))
-
-
-@analysis(f"SELECT ticker, {_sport_sql} AS sport, {_kind_sql} AS kind FROM markets", "markets")
-def classify_markets(spark, d):
-    return _classified(src.markets(spark, d)).select("ticker", "sport", "kind")
-
-
-@analysis(f"SELECT {_sport_sql} AS sport, sum(volume)::BIGINT AS total_volume, count(*) AS market_count FROM markets GROUP BY 1", "markets")
-def market_types(spark, d):
-    return _classified(src.markets(spark, d)).groupBy("sport").agg(F.sum("volume").alias("total_volume"), F.count("*").alias("market_count"))
-
-
-@analysis(f"SELECT sport, kind, sum(volume)::BIGINT AS total_volume FROM (SELECT {_sport_sql} AS sport, {_kind_sql} AS kind, volume FROM markets) GROUP BY ROLLUP (sport, kind)", "markets")
-def market_types_rollup(spark, d):
-    return _classified(src.markets(spark, d)).rollup("sport", "kind").agg(F.sum("volume").alias("total_volume"))
-
-
 @analysis(
     "SELECT CASE WHEN n <= 8 THEN event_ticker ELSE 'Other' END AS event_ticker, family, sum(v)::BIGINT AS total_volume FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY v DESC, event_ticker) AS n FROM (SELECT family, event_ticker, sum(volume) AS v FROM markets GROUP BY ALL)) GROUP BY 1, 2", "markets"
 )
@@ -205,53 +81,6 @@ def market_types_top_k_other(spark, d):
     return v.withColumn("n", n).groupBy(F.when(F.col("n") <= 8, F.col("event_ticker")).otherwise("Other").alias("event_ticker"), "family").agg(F.sum("v").alias("total_volume"))
 
 
-@analysis(
-    f"SELECT sport, round(sum(count * e) FILTER (role = 'taker') / sum(count) FILTER (role = 'taker'), 9) AS taker_excess, round(sum(count * e) FILTER (role = 'maker') / sum(count) FILTER (role = 'maker'), 9) AS maker_excess, count(*) FILTER (role = 'taker') AS taker_n, round(sum(count * e) FILTER (role = 'maker'), 6) AS maker_pnl FROM (SELECT *, {_sport_sql} AS sport, won - price / 100.0::DOUBLE AS e FROM positions) GROUP BY sport", *POS
-)
-def returns_by_category(spark, d):
-    p = _classified(_pos(spark, d)).withColumn("e", _excess())
-    of = lambda role, c: F.sum(F.when(F.col("role") == role, c))
-    return p.groupBy("sport").agg(*(_r(of(r, F.col("count") * F.col("e")) / of(r, F.col("count"))).alias(f"{r}_excess") for r in ("taker", "maker")), F.count_if(F.col("role") == "taker").alias("taker_n"), _r(of("maker", F.col("count") * F.col("e")), 6).alias("maker_pnl"))
-
-
-@analysis(
-    """SELECT price, sum(n)::BIGINT AS total_trades, sum(w)::BIGINT AS wins, round(100.0 * sum(w) / sum(n), 9) AS win_rate, count(*) AS unique_markets, round(100 * sqrt(sum(r) * count(*) / (count(*) - 1)) / sum(n), 6) AS se_pct FROM (
-SELECT *, pow(w - n * sum(w) OVER (PARTITION BY price) / sum(n) OVER (PARTITION BY price), 2) AS r FROM (SELECT price, market_key, count(*) AS n, sum(won) AS w FROM positions GROUP BY ALL)) GROUP BY price HAVING count(*) > 1""",
-    *POS,
-)
-def win_rate_by_price_clustered(spark, d):
-    """Win rate by price; standard errors clustered by market."""
-    c = _pos(spark, d).groupBy("price", "market_key").agg(F.count("*").alias("n"), F.sum("won").alias("w"))
-    # sum (w - n W/N)^2 needs no second pass over clusters: it is made of three sums
-    sums = c.groupBy("price").agg(F.sum("n").alias("total_trades"), F.sum("w").alias("wins"), F.count("*").alias("unique_markets"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("n") * F.col("w")).alias("nw"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-    rate = F.col("wins") / F.col("total_trades")
-    rss = F.greatest(F.col("ww") - 2 * rate * F.col("nw") + rate * rate * F.col("nn"), F.lit(0.0))
-    se = 100 * F.sqrt(rss * F.col("unique_markets") / (F.col("unique_markets") - 1)) / F.col("total_trades")
-    return sums.where("unique_markets > 1").select("price", "total_trades", "wins", _r(100.0 * rate).alias("win_rate"), "unique_markets", _r(se, 6).alias("se_pct"))
-
-
-@analysis(
-    """SELECT quarter, round(avg(abs(100.0 * w / n - price)), 9) AS mean_absolute_deviation FROM (SELECT q.quarter, price, sum(n) AS n, sum(w) AS w FROM (SELECT DISTINCT strftime(date_trunc('quarter', created_time), '%Y-%m-%d') AS quarter FROM positions) q JOIN (SELECT strftime(date_trunc('quarter', created_time), '%Y-%m-%d') AS quarter, price, count(*) AS n, sum(won) AS w FROM positions GROUP BY ALL) a ON a.quarter <= q.quarter GROUP BY ALL) GROUP BY quarter""",
-    *POS,
-)
-def calibration_deviation(spark, d):
-    """Deviation of win rates from prices, cumulative to each quarter; prices get a row in every quarter from their first on."""
-    a = _pos(spark, d).groupBy(_quarter().alias("quarter"), "price").agg(F.count("*").alias("n"), F.sum("won").alias("w"))
-    quarters = a.agg(F.min("quarter").cast("date").alias("a"), F.max("quarter").cast("date").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 3 MONTHS"))).alias("quarter"))
-    quarters = quarters.select(F.date_format("quarter", "yyyy-MM-dd").alias("quarter"))
-    seen = a.select("quarter").distinct()
-    grid = a.select("price").distinct().join(F.broadcast(quarters.join(seen, "quarter", "left_semi")), how="cross")  # prices (under 100) by quarters
-    w = Window.partitionBy("price").orderBy("quarter")
-    run = grid.join(a, ["quarter", "price"], "left").select("quarter", "price", F.sum("n").over(w).alias("n"), F.sum("w").over(w).alias("w")).where("n > 0")
-    return run.groupBy("quarter").agg(_r(F.avg(F.abs(100.0 * F.col("w") / F.col("n") - F.col("price")))).alias("mean_absolute_deviation"))
-
-
-@analysis("SELECT round(avg(pow(won - p, 2)), 9) AS brier, round(avg(-(won * ln(p) + (1 - won) * ln(1 - p))), 9) AS log_loss FROM (SELECT won, price / 100.0::DOUBLE AS p FROM positions)", *POS)
-def brier_logloss(spark, d):
-    p, won = F.col("price") / 100.0, F.col("won")
-    return _pos(spark, d).agg(_r(F.avg((won - p) * (won - p))).alias("brier"), _r(F.avg(-(won * F.log(p) + (1 - won) * F.log(1 - p)))).alias("log_loss"))
-
-
 @analysis("SELECT trade_id, ordinal, taker_side, p AS yes_price, 100 - p AS no_price FROM (SELECT *, CASE taker_side WHEN 'yes' THEN yes_price ELSE 100 - no_price END AS p FROM dirty) WHERE p BETWEEN 0 AND 100", "trades", "dirty")
 def price_repair(spark, d):
     return clean.repair_prices(src.dirty_trades(spark, d)).select("trade_id", "ordinal", "taker_side", "yes_price", "no_price")
@@ -279,11 +108,6 @@ def family_pruned_scan(spark, d):
     return src.markets(spark, d).where(F.col("ticker").startswith("KXNBA") | F.col("ticker").startswith("KXNFL")).groupBy("family").agg(F.count("*").alias("n"))
 
 
-@analysis("SELECT event_ticker, family, count(*) AS markets, min(open_time) AS first_open, string_agg(DISTINCT status, ' / ' ORDER BY status) AS statuses FROM markets GROUP BY ALL", "markets")
-def game_catalog(spark, d):
-    return src.markets(spark, d).groupBy("event_ticker", "family").agg(F.count("*").alias("markets"), F.min("open_time").alias("first_open"), F.concat_ws(" / ", F.array_sort(F.collect_set("status"))).alias("statuses"))
-
-
 @analysis("SELECT trade_id, min(price) OVER w AS future_min, count(*) OVER w AS future_count FROM prints WINDOW w AS (PARTITION BY ticker ORDER BY ts, trade_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)", "prints")
 def suffix_min(spark, d):
     p = src.prints(spark, d)
@@ -294,22 +118,7 @@ def suffix_min(spark, d):
 def asof_price(spark, d):
     p = src.prints(spark, d)
     left = p.where("kind <> 'click'").select("trade_id", "ticker", "ts")
-    return ordered.asof(left, p.where("kind = 'click'").select("ticker", "ts", F.col("price").alias("quote")), "ticker", "ts", "quote").select("trade_id", "quote")
-
-
-@analysis(
-    """SELECT t.ticker, max_by(price, (ts, trade_id)) FILTER (ts < start_time) AS clv, count(*) FILTER (ts >= start_time AND ts < close_time) AS in_game, min(price) FILTER (ts >= start_time AND ts < close_time) AS low,
-CASE WHEN count(*) FILTER (ts < start_time) = 0 THEN 'no_pregame_price' WHEN count(*) FILTER (ts >= close_time) = 0 THEN 'incomplete_trade_horizon' ELSE 'included' END AS audit FROM timings t JOIN prints USING (ticker) GROUP BY t.ticker""",
-    "prints",
-    "timings",
-)
-def fill_audit(spark, d):
-    j = src.prints(spark, d).join(src.timings(spark, d), "ticker")
-    before, after = F.col("ts") < F.col("start_time"), F.col("ts") >= F.col("close_time")
-    live = ~before & ~after
-    a = j.groupBy("ticker").agg(F.max_by("price", F.when(before, F.struct("ts", "trade_id"))).alias("clv"), F.count_if(live).alias("in_game"), F.min(F.when(live, F.col("price"))).alias("low"), F.count_if(before).alias("b"), F.count_if(after).alias("a"))
-    audit = F.when(F.col("b") == 0, "no_pregame_price").when(F.col("a") == 0, "incomplete_trade_horizon").otherwise("included")
-    return a.select("ticker", "clv", "in_game", "low", audit.alias("audit"))
+    return ordered.asof(left, p.where("kind = 'click'").select("ticker", "ts", "trade_id", F.col("price").alias("quote")), "ticker", "ts", "quote", "trade_id").select("trade_id", "quote")
 
 
 _GRID_SQL = "g AS (SELECT ticker, start_time, close_time, k, start_time + to_seconds(k * 21600) AS ts FROM timings, range(0, 40) t(k))"
@@ -328,7 +137,7 @@ def fill_snapshots(spark, d):
     live = p.join(t, "ticker").select("ticker", F.lit(None).cast("long").alias("k"), "ts", F.lit(1).alias("o"), "price", "trade_id", (F.col("ts") < F.col("close_time")).alias("open"))
     both = grid.withColumn("open", F.lit(False)).unionByName(live)
     w = Window.partitionBy("ticker").orderBy("ts", "o", "trade_id")
-    later = w.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("ticker").orderBy(F.desc("ts"), F.desc("o"), F.desc("trade_id")).rowsBetween(Window.unboundedPreceding, -1)
     still = F.when(F.col("open"), F.col("price"))
     out = both.select("ticker", "k", F.last("price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("current_price"), F.count(still).over(later).alias("future_count"), F.min(still).over(later).alias("future_min"))
     return out.where("k is not null and current_price is not null")
@@ -344,18 +153,6 @@ def volume_buckets(spark, d):
     return src.prints(spark, d).groupBy("ticker", (F.floor(F.unix_timestamp("ts") / 3600) * 3600).alias("bucket")).agg(F.sum("count").alias("volume"))
 
 
-@analysis(
-    "SELECT ticker, bucket, round(sqrt(sum(d * d) OVER w), 9) AS vol, round(sqrt(sum(CASE WHEN d > 0 THEN d * d ELSE 0 END) OVER w), 9) AS up, round(sqrt(sum(CASE WHEN d < 0 THEN d * d ELSE 0 END) OVER w), 9) AS down FROM (SELECT *, coalesce(price - lag(price) OVER (PARTITION BY ticker ORDER BY bucket), 0) AS d FROM (SELECT ticker, floor(epoch(ts))::BIGINT // 3600 * 3600 AS bucket, max_by(price, (ts, trade_id)) AS price FROM prints GROUP BY 1, 2)) WINDOW w AS (PARTITION BY ticker ORDER BY bucket ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)",
-    "prints",
-)
-def rolling_volatility(spark, d):
-    s = ordered.bucket_last(src.prints(spark, d), "ticker", "ts", "price", 3600, "trade_id")
-    w = Window.partitionBy("ticker").orderBy("bucket")
-    s = s.withColumn("d", F.coalesce(F.col("price") - F.lag("price").over(w), F.lit(0)))
-    root = lambda c: _r(F.sqrt(F.sum(F.when(c, F.col("d") * F.col("d")).otherwise(0)).over(w.rowsBetween(-11, 0))))
-    return s.select("ticker", "bucket", root(F.lit(True)).alias("vol"), root(F.col("d") > 0).alias("up"), root(F.col("d") < 0).alias("down"))
-
-
 @analysis(
     "SELECT ticker, min(ts) AS opened, max(ts) AS closed, max(price) AS peak, count(*) AS n FROM (SELECT *, sum(CASE WHEN hot AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY ts, trade_id) AS e FROM (SELECT *, price >= 50 AS hot, lag(price >= 50) OVER (PARTITION BY ticker ORDER BY ts, trade_id) AS was FROM prints)) WHERE hot GROUP BY ticker, e", "prints"
 )
@@ -379,32 +176,3 @@ def coverage_intervals(spark, d):
     return i.groupBy("ticker", "g").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("g")
 
 
-@analysis(
-    f"SELECT yes_price AS price, count(*) FILTER (taker_side = 'yes') AS n_yes, count(*) FILTER (taker_side = 'no') AS n_no, round((y / n_y - x / n_x) / sqrt(((y + x) / (n_y + n_x)) * (1 - (y + x) / (n_y + n_x)) * (1 / n_y + 1 / n_x)), 6) AS z FROM (SELECT *, sum((result = 'yes' AND taker_side = 'yes')::INT) OVER p::DOUBLE AS y, sum((taker_side = 'yes')::INT) OVER p::DOUBLE AS n_y, sum((result = 'yes' AND taker_side = 'no')::INT) OVER p::DOUBLE AS x, sum((taker_side = 'no')::INT) OVER p::DOUBLE AS n_x FROM {JOINED} WINDOW p AS (PARTITION BY yes_price)) GROUP BY yes_price, y, n_y, x, n_x HAVING n_y >= 100 AND n_x >= 100",
-    "markets",
-    "trades",
-)
-def two_proportion_z(spark, d):
-    hit = F.col("result") == "yes"
-    a = _joined(spark, d).groupBy(F.col("yes_price").alias("price")).agg(*(F.count_if(F.col("taker_side") == s).alias(f"n_{s}") for s in ("yes", "no")), *(F.count_if(hit & (F.col("taker_side") == s)).alias(f"h_{s}") for s in ("yes", "no"))).where("n_yes >= 100 and n_no >= 100")
-    pooled = (F.col("h_yes") + F.col("h_no")) / (F.col("n_yes") + F.col("n_no"))
-    z = (F.col("h_yes") / F.col("n_yes") - F.col("h_no") / F.col("n_no")) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("n_yes") + 1 / F.col("n_no")))
-    return a.select("price", "n_yes", "n_no", _r(z, 6).alias("z"))
-
-
-@analysis("SELECT round(corr(price, won), 9) AS pearson FROM positions WHERE role = 'taker'", *POS)
-def price_correlation(spark, d):
-    return _pos(spark, d).where("role = 'taker'").agg(_r(F.corr("price", "won")).alias("pearson"))
-
-
-@analysis(
-    "SELECT n, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM (SELECT sum(n)::BIGINT AS n, (sum(n) * sum(n * x * y) - sum(n * x) * sum(n * y)) / (sum(n) * sum(n * x * x) - sum(n * x) * sum(n * x)) AS slope, (sum(n * y) - (sum(n) * sum(n * x * y) - sum(n * x) * sum(n * y)) / (sum(n) * sum(n * x * x) - sum(n * x) * sum(n * x)) * sum(n * x)) / sum(n) AS intercept FROM (SELECT count::DOUBLE AS x, count(*)::DOUBLE AS n, avg(won) AS y FROM positions WHERE role = 'taker' GROUP BY count))",
-    *POS,
-)
-def wls_trade_size(spark, d):
-    """Least-squares line of the win rate over the trade size, sizes weighted by their trades."""
-    b = _pos(spark, d).where("role = 'taker'").groupBy(F.col("count").cast("double").alias("x")).agg(F.count("*").cast("double").alias("n"), F.avg("won").alias("y"))
-    n, x, y = F.col("n"), F.col("x"), F.col("y")
-    s = b.agg(F.sum("n").alias("n"), F.sum(n * x).alias("sx"), F.sum(n * y).alias("sy"), F.sum(n * x * y).alias("sxy"), F.sum(n * x * x).alias("sxx"))
-    slope = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    return s.withColumn("s", slope).select(F.col("n").cast("long").alias("n"), _r(F.col("s"), 6).alias("slope"), _r((F.col("sy") - F.col("s") * F.col("sx")) / F.col("n"), 6).alias("intercept"))
