@@ -121,28 +121,6 @@ def asof_price(spark, d):
     return ordered.asof(left, p.where("kind = 'click'").select("ticker", "ts", "trade_id", F.col("price").alias("quote")), "ticker", "ts", "quote", "trade_id").select("trade_id", "quote")
 
 
-_GRID_SQL = "g AS (SELECT ticker, start_time, close_time, k, start_time + to_seconds(k * 21600) AS ts FROM timings, range(0, 40) t(k))"
-
-
-@analysis(
-    f""", {_GRID_SQL}, s AS (SELECT g.ticker, g.k, p.price FROM g ASOF JOIN (SELECT ticker, ts, max_by(price, trade_id) AS price FROM prints GROUP BY ticker, ts) p ON g.ticker = p.ticker AND g.ts >= p.ts)
-SELECT s.ticker, s.k, any_value(s.price) AS current_price, count(f.price) AS future_count, min(f.price) AS future_min FROM s JOIN g USING (ticker, k) LEFT JOIN prints f ON f.ticker = s.ticker AND f.ts > g.ts AND f.ts < g.close_time GROUP BY s.ticker, s.k""",
-    "prints",
-    "timings",
-)
-def fill_snapshots(spark, d):
-    """States on a grid of forty steps: the price then, and what is still to come before the close."""
-    p, t = src.prints(spark, d), src.timings(spark, d)
-    grid = t.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long")))).select("ticker", "k", F.timestamp_seconds(F.unix_timestamp("start_time") + F.col("k") * 21600).alias("ts"), F.lit(2).alias("o"), F.lit(None).cast("long").alias("price"), F.lit(None).cast("long").alias("trade_id"))
-    live = p.join(t, "ticker").select("ticker", F.lit(None).cast("long").alias("k"), "ts", F.lit(1).alias("o"), "price", "trade_id", (F.col("ts") < F.col("close_time")).alias("open"))
-    both = grid.withColumn("open", F.lit(False)).unionByName(live)
-    w = Window.partitionBy("ticker").orderBy("ts", "o", "trade_id")
-    later = Window.partitionBy("ticker").orderBy(F.desc("ts"), F.desc("o"), F.desc("trade_id")).rowsBetween(Window.unboundedPreceding, -1)
-    still = F.when(F.col("open"), F.col("price"))
-    out = both.select("ticker", "k", F.last("price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("current_price"), F.count(still).over(later).alias("future_count"), F.min(still).over(later).alias("future_min"))
-    return out.where("k is not null and current_price is not null")
-
-
 @analysis("SELECT ticker, bucket, last_value(price IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY bucket) AS price FROM (SELECT ticker, unnest(range(min(b), max(b) + 1, 86400)) AS bucket FROM (SELECT ticker, floor(epoch(ts))::BIGINT // 86400 * 86400 AS b FROM prints) GROUP BY ticker) LEFT JOIN (SELECT ticker, floor(epoch(ts))::BIGINT // 86400 * 86400 AS bucket, max_by(price, (ts, trade_id)) AS price FROM prints GROUP BY 1, 2) USING (ticker, bucket)", "prints")
 def resample_ffill(spark, d):
     return ordered.resample(src.prints(spark, d), "ticker", "ts", "price", 86400, "trade_id")
