@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 def _folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not named and not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{named or 'file://' + tempfile.mkdtemp(prefix='oddsmith-')}/stream-{uuid.uuid4().hex}"
 
@@ -41,7 +42,10 @@ def drained(rows: DataFrame) -> DataFrame:
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(deduplicated(events(spark, sf_dir)).select("event_id", "user_id", "event_type"))
+    """Each event comes up to three times, a few seconds apart, and once stays."""
+    sent = events(spark, sf_dir).withColumn("again", F.explode(F.sequence(F.lit(0).cast("long"), F.col("event_id") % 3)))
+    late = sent.withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.col("again") * 20))
+    return drained(deduplicated(late).select("event_id", "user_id", "event_type"))
 
 
 def stream_tumbling_volume(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from oddsmith.operators import clean, ordered
-from oddsmith.plans import analyses, fills, returns, tests  # noqa: F401  each registers its queries
+from oddsmith.plans import analyses, books, fills, returns, tests, venue2  # noqa: F401  each registers its queries
 from oddsmith.streaming import prints
 
 D = "/root/testdata/sf0.001"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions import classify, stats
 from oddsmith.operators import ordered
-from oddsmith.plans import fills, returns
+from oddsmith.plans import books, fills, returns, venue2
 
 START = datetime(2026, 4, 9, 12)
 
@@ -141,3 +141,39 @@ def test_asof_ties(spark):
     left = spark.createDataFrame([("a", 5)], "k string, t long")
     right = spark.createDataFrame([("a", 5, 1, 9.0), ("a", 5, 2, 8.0), ("a", 5, 3, None)], "k string, t long, id long, v double")
     assert ordered.asof(left, right, "k", "t", "v", "id").first().v == 8.0 and ordered.asof(left, right, "k", "t", "v").first().v == 9.0
+
+
+def test_book_rules():
+    b = books.Book()
+    assert b.take("delta", 1, [("yes", "0.40", "5")]) == "delta without snapshot" and b.state == "recovering"
+    assert b.take("snapshot", 4, [("yes", "0.40", "5"), ("no", "0.55", "2"), ("no", "0.10", "0")]) is None
+    assert [float(x) for x in b.best()] == [0.40, 0.45]
+    assert b.take("delta", 5, [("yes", "0.42", "1")]) is None and float(b.best()[0]) == 0.42
+    assert b.take("delta", 6, [("yes", "0.42", "-1")]) is None and float(b.best()[0]) == 0.40
+    assert b.take("delta", 8, [("yes", "0.41", "1")]) == "sequence gap" and b.state == "recovering"
+    assert b.take("delta", 9, [("yes", "0.41", "1")]) == "delta without snapshot"
+    assert b.take("snapshot", 10, [("yes", "0.40", "5"), ("no", "0.60", "2")]) == "crossed"
+    assert b.take("snapshot", 11, [("yes", "0.40", "5"), ("yes", "0.40", "2")]) == "duplicate price"
+    assert b.take("snapshot", 12, [("no", "0.60", "2")]) is None and b.best()[0] is None
+    assert b.take("delta", 13, [("no", "0.60", "-3")]) == "negative quantity"
+
+
+def test_walk(spark):
+    levels = spark.createDataFrame([("a", 60, 5), ("a", 55, 0), ("a", 50, 10), ("a", 10, 99)], "ticker string, bid long, available long")
+    r = books.walk(levels, F.lit(12)).first()
+    assert (r.filled, r.worst, r.levels) == (12, 50, 2) and r.cost == pytest.approx(5 * 0.4 + 7 * 0.5)
+    assert books.walk(levels, F.lit(1000), cap=F.lit(50)).first().filled == 15
+    fee = spark.range(1).select(books.fee_bound(F.lit(0.24 * 5 + 0.25 * 7), F.lit(12)).alias("f")).first().f
+    assert fee == pytest.approx(math.ceil(0.07 * (0.24 * 5 + 0.25 * 7) * 1e6) / 1e6 + 1200e-6 + 0.01)
+
+
+def test_resolutions(spark):
+    rows = [(1, '["0.999","0.001"]', '["a","b"]', "0xA"), (2, '["0.5","0.5"]', '["c","d"]', "0xB"), (3, "oops", '["e","f"]', "0xC"), (4, '["0","1"]', "bad", "0xD"), (5, None, None, None), (6, '["x","1"]', '["g","h"]', "0xE")]
+    got = venue2.resolutions(spark.createDataFrame(rows, "id long, outcome_prices string, clob_token_ids string, market_maker_address string")).collect()
+    assert sorted((r.id, r.winner, r.fpmm_address) for r in got) == [(1, 0, "0xa"), (4, 1, "0xd")]
+
+
+def test_interpolation(spark):
+    known = spark.createDataFrame([(0, 100), (4, 111), (2_000_000, 200)], "block_number long, e long")
+    got = {r.block_number: r.e for r in venue2.interpolated(known, 1).where("block_number < 6 or block_number >= 1999999").collect()}
+    assert got == {0: 100, 1: 102, 2: 105, 3: 108, 4: 111, 5: 111, 1_999_999: 199, 2_000_000: 200}
