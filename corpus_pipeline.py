@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: quality rules, line dedup, near-copy removal, benchmark decontamination, mixing."""
+"""A training corpus from raw documents: quality rules, line dedup, near-copy removal, benchmark decontamination, mixing.
+
+Null and empty texts fail the quality rules; texts of any length are worked through whole. Rows that repeat an id and a
+text stay once from the third stage on; of near copies, and of boilerplate lines, those of the smallest id stay. Extra
+columns are kept (names that start with two underscores are the stages'), but the last stage adds `copy` and
+`shuffle_key`, in place of columns of those names. An empty table of documents gives no rows at each stage.
+"""
 
 from __future__ import annotations
 
@@ -17,9 +23,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without boilerplate lines, n_chars brought up to date; those of which only blanks are left go."""
-    found = linededup.dedup(docs, min_sites=MIN_SITES, min_chars=MIN_CHARS)
-    found = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
-    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("n_lines", "n_removed")
+    found = linededup.dedup(docs, min_sites=MIN_SITES, min_chars=MIN_CHARS, counts=("__lines_of", "__removed"))
+    removed = F.col("__removed") > 0
+    found = found.where(~removed | F.col("text").rlike(r"[^ \t-\r]"))
+    return found.withColumn("n_chars", F.when(removed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__lines_of", "__removed")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ shows it, and goes from all others, so that no text is lost altogether.
 Null text has no lines and stays null; empty text has one empty line. A null
 site counts for nothing; a null id is larger than all others. Rows of the same
 id are one document as to which lines go. A document's set of lines to remove is
-at most as large as the document. Extra columns are kept; an empty table gives
-no rows.
+at most as large as the document. Extra columns are kept, but those that `counts`
+names are replaced; columns that start with two underscores are the operator's. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return far.unionByName(counted.select("a", "b", "first"))
 
 
-def dedup(docs: DataFrame, *, key: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = 10, min_chars: int = 20) -> DataFrame:
-    """docs with `text` less its boilerplate lines, `n_lines` and `n_removed` lines."""
+def dedup(docs: DataFrame, *, key: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = 10, min_chars: int = 20, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with `text` less its boilerplate lines, and the numbers of lines and of lines removed in columns named by `counts`."""
     line = F.explode(F.array_distinct(F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(x))))
     lines = docs.select(F.col(key).alias("id"), F.col(site).cast("string").alias("site"), line.alias("line")).where(F.length("line") >= min_chars)
     lines = lines.select("id", "site", _hash(F.col("line")).alias("h")).select("id", "site", "h.a", "h.b")
@@ -58,9 +59,9 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", site: str = "source", text: s
     return (
         docs.join(gone, F.col(key).eqNullSafe(F.col("__id")), "left")
         .withColumn("__lines", all_lines)
-        .withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long"))
+        .withColumn(counts[0], F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long"))
         .withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
-        .withColumn("n_removed", F.when(F.col("__left").isNull(), 0).otherwise(F.size("__lines") - F.size("__left")).cast("long"))
+        .withColumn(counts[1], F.when(F.col("__left").isNull(), 0).otherwise(F.size("__lines") - F.size("__left")).cast("long"))
         .withColumn(text, F.when(F.col("__left").isNull(), F.col(text)).otherwise(F.array_join("__left", "\n")))
         .drop("__id", "__gone", "__lines", "__left")
     )
