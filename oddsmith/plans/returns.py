@@ -334,17 +334,21 @@ def returns_by_sports_event(spark, d):
 def price_rates(positions: DataFrame) -> DataFrame:
     """Win rates by price with standard errors clustered by market, Student-t intervals and what stands against one.
 
-    positions: price, market_key, won, count, volume. Residuals are summed over (price, market), so that equal
-    rates give 0 and not what rounding leaves. There are 101 whole prices at most, hence the broadcast.
+    positions: price, market_key, won, count, volume. The residuals' sum of (w - n W / N)^2 over markets is
+    (N (N sum ww - W sum nw) - W (N sum nw - W sum nn)) / N^2, whose numerator is a whole number: one pass suffices,
+    and equal rates give 0 and not what rounding leaves.
     """
     c = positions.where("price between 0 and 100").groupBy("price", "market_key").agg(F.count("*").alias("n"), F.sum("won").alias("w"), F.sum(_usd()).alias("u"), F.sum("volume").alias("mv"))
-    s = c.groupBy("price").agg(F.sum("n").alias("total_trades"), F.sum("w").alias("wins"), F.count("*").alias("unique_markets"), F.sum("u").alias("trade_volume_usd"), F.sum("mv").alias("market_volume_usd"))
-    miss = F.col("w") - F.col("n") * F.col("wins") / F.col("total_trades")
-    rss = c.join(F.broadcast(s), "price").groupBy("price").agg(F.sum(miss * miss).alias("rss"))
+    whole = lambda x: x.cast("decimal(38,0)")
+    sums = [F.sum(whole(F.col(x) * F.col(y))).cast("decimal(38,0)").alias(x + y) for x, y in ("ww", "nw", "nn")]
+    s = c.groupBy("price").agg(F.sum("n").alias("total_trades"), F.sum("w").alias("wins"), F.count("*").alias("unique_markets"), F.sum("u").alias("trade_volume_usd"), F.sum("mv").alias("market_volume_usd"), *sums)
+    big, won = whole(F.col("total_trades")), whole(F.col("wins"))
+    top = big * whole(big * F.col("ww") - won * F.col("nw")) - won * whole(big * F.col("nw") - won * F.col("nn"))
+    s = s.withColumn("rss", top.cast("double") / F.col("total_trades") / F.col("total_trades")).drop("ww", "nw", "nn")
     rate, df = F.col("wins") / F.col("total_trades"), F.col("unique_markets") - 1
     status = F.when(df <= 0, "insufficient_markets").when((rate <= 0) | (rate >= 1), "boundary_estimate").when(F.col("rss") <= 1e-12, "degenerate_cluster_variance").otherwise("available")
     se = F.sqrt(F.try_divide(F.col("unique_markets"), df) * F.col("rss")) / F.col("total_trades")
-    return s.join(rss, "price").withColumns({"win_rate": 100.0 * rate, "degrees_of_freedom": df, "confidence_status": status, "se": F.when(status == "available", se)}).drop("rss")
+    return s.withColumns({"win_rate": 100.0 * rate, "degrees_of_freedom": df, "confidence_status": status, "se": F.when(status == "available", se)}).drop("rss")
 
 
 def with_interval(rates: DataFrame) -> DataFrame:
