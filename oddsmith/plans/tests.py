@@ -77,7 +77,7 @@ def welch_t(spark, d, reference: str = "Politics"):
 SELECT price_bin, count(*) FILTER (role = 'maker') AS n1, count(*) FILTER (role = 'taker') AS n2, sum(r) FILTER (role = 'maker') - count(*) FILTER (role = 'maker')::DOUBLE * (count(*) FILTER (role = 'maker') + 1) / 2 AS u, sum(k * k - 1)::DOUBLE AS ties, avg(w) FILTER (role = 'taker') AS taker_mean, avg(w) FILTER (role = 'maker') AS maker_mean
 FROM (SELECT *, rank() OVER (PARTITION BY price_bin ORDER BY c) + (count(*) OVER (PARTITION BY price_bin, c) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY price_bin, c) AS k FROM b) GROUP BY price_bin) WHERE n2 >= 100""",
     *POS,
-    """b AS (SELECT p.role, p.count * p.price AS c, p.count * p.price / 100.0::DOUBLE AS w, least(10, greatest(1, ceil((t.price - low) / ((high - low) / 10.0::DOUBLE))))::BIGINT AS price_bin FROM positions p JOIN (SELECT trade_id, any_value(price) AS price FROM positions WHERE role = 'taker' GROUP BY trade_id) t USING (trade_id), (SELECT min(price) AS low, max(price) AS high FROM positions WHERE role = 'taker'))""",
+    """b AS (SELECT role, count * price AS c, count * price / 100.0::DOUBLE AS w, least(10, greatest(1, ceil((CASE role WHEN 'taker' THEN price ELSE 100 - price END - low) / ((high - low) / 10.0::DOUBLE))))::BIGINT AS price_bin FROM positions, (SELECT min(price) AS low, max(price) AS high FROM positions WHERE role = 'taker'))""",
 )
 def mann_whitney(spark, d):
     """Whether makers' trades are larger than takers', by tenth of the taker price's range: U, rank-biserial effect, z with ties and continuity.
