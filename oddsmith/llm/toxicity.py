@@ -57,7 +57,13 @@ class Landmarks:
         self.codes = [np.array(list(map(ord, w)), np.int32) for w in words]
         self.own = [float(_gapped((c[:, None, None] == c[None, :, None]).astype(np.float32))[0]) for c in self.codes]
         self.bits = [np.unique(_bit(c)) for c in self.codes]
+        self.masks = [int(np.bitwise_or.reduce(np.int64(1) << b)) for b in self.bits]
+        self.padded = np.zeros((len(words), max(map(len, words), default=0)), np.int32)
+        for k, c in enumerate(self.codes):
+            self.padded[k, : len(c)] = c
         self.reach = [self._shares(c, b) for c, b in zip(self.codes, self.bits, strict=True)] if floor else []
+        #: So many of its letters a word needs for the floor.
+        self.least = [min(int(subset).bit_count() for subset in np.flatnonzero(r >= floor)) for r in self.reach]
 
     @staticmethod
     def _shares(code: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -84,24 +90,25 @@ class Landmarks:
         for k, bits in enumerate(self.bits):
             at = np.arange(len(words))
             if self.floor:
-                subset = np.zeros(len(words), np.int64)
+                at = np.flatnonzero(np.bitwise_count(mask & self.masks[k]) >= self.least[k])
+                some, subset = mask[at], np.zeros(len(at), np.int64)
                 for place, b in enumerate(bits.tolist()):
-                    subset |= (mask >> b & 1) << place
-                at = np.flatnonzero(self.reach[k][subset] >= self.floor)
+                    subset |= (some >> b & 1) << place
+                at = at[self.reach[k][subset] >= self.floor]
             pairs.append(np.stack([at, np.full(len(at), k)]))
         of, to = np.concatenate(pairs, 1)
         own = np.zeros(len(words))
         some = np.unique(of)
         for n in np.unique(sizes[some]):
             for part in _parts(some[sizes[some] == n]):
-                a = codes[part, :n].T
+                a = _upright(codes[part, :n])
                 own[part] = _gapped((a[:, None] == a[None]).astype(np.float32))
         lengths = np.array([len(c) for c in self.codes])
         shape = sizes[of] * 100 + lengths[to]
         for both in np.unique(shape):
             for part in _parts(np.flatnonzero(shape == both)):
-                a = codes[of[part], : both // 100].T
-                b = np.stack([self.codes[k] for k in to[part]], 1)
+                a = _upright(codes[of[part], : both // 100])
+                b = _upright(self.padded[to[part], : both % 100])
                 raw = _gapped((a[:, None] == b[None]).astype(np.float32))
                 out[of[part], to[part]] = raw / np.sqrt(own[of[part]] * np.array(self.own)[to[part]])
         return out
@@ -112,6 +119,11 @@ def _parts(rows: np.ndarray, most: int = 2000) -> list[np.ndarray]:
     return np.array_split(rows, len(rows) // most + 1)
 
 
+def _upright(codes: np.ndarray) -> np.ndarray:
+    """A row for each place in the words, so that what follows runs along the words."""
+    return np.ascontiguousarray(codes.T)
+
+
 def _bit(codes: np.ndarray) -> np.ndarray:
     """Of each character, one of 62 bits; a to z have their own."""
     return np.where((codes >= 97) & (codes < 123), codes - 97, 26 + codes % 36).astype(np.int64)
@@ -119,20 +131,24 @@ def _bit(codes: np.ndarray) -> np.ndarray:
 
 def _gapped(same: np.ndarray) -> np.ndarray:
     """Kernel values from matches: same[i, j, ...] tells whether character i of one word is character j of the other."""
+    step = np.float32(DECAY)
     d = same * np.float32(DECAY * DECAY)
     for _ in range(ORDER - 1):
         acc = np.zeros_like(d)  # sums over earlier i and j, each step back costing DECAY
         for i in range(1, d.shape[0]):
-            acc[i] = DECAY * (acc[i - 1] + d[i - 1])
+            np.add(acc[i - 1], d[i - 1], out=acc[i])
+            acc[i] *= step
         run = np.zeros_like(d)
         for j in range(1, d.shape[1]):
-            run[:, j] = DECAY * (run[:, j - 1] + acc[:, j - 1])
+            np.add(run[:, j - 1], acc[:, j - 1], out=run[:, j])
+            run[:, j] *= step
         d = same * run
     return d.sum((0, 1))
 
 
 def normal(token: str) -> str:
-    return _strip("", token.lower())
+    low = token.lower()
+    return low if low.isalnum() else _strip("", low)
 
 
 def pieces(word: str) -> list[str]:
@@ -155,28 +171,33 @@ class Pooler:
 
     def clear(self) -> None:
         self.of: dict[str, int] = {}
+        self.words: dict[str, int] = {}
         self.rows = [np.zeros((1, 2 * len(self.landmarks.words)), np.float32)]
         self.size = 1
 
     def learn(self, new: set[str]) -> None:
+        """Rows for new tokens; row 0 is that of words near no landmark. Words of one piece are known from other spellings."""
         words = {t: normal(t) for t in new}
-        parts = {p for w in words.values() for p in pieces(w)}
-        parts = [p for p in parts if len(p) >= ORDER]
+        unknown = {w for w in words.values() if w not in self.words}
+        parts = [p for p in {p for w in unknown for p in pieces(w)} if len(p) >= ORDER]
         row: dict[str, int] = {}
         if parts:
             values = self.landmarks.kernel(parts)
             values[values < FLOOR] = 0
             some = np.flatnonzero(values.any(1))
             row = {parts[i]: k + self.size for k, i in enumerate(some.tolist())}
-            self.rows.append(np.hstack([values[some] ** SHARP, values[some] ** BLUNT]))
-            self.size += len(some)
-        for t, w in words.items():
-            at = [row[p] for p in pieces(w) if p in row]
-            if len(at) > 1:
-                both = np.concatenate(self.rows)
-                self.rows = [both, both[at].max(0, keepdims=True)]
-                at, self.size = [self.size], self.size + 1
-            self.of[t] = at[0] if at else 0
+            self.add(np.hstack([values[some] ** SHARP, values[some] ** BLUNT]))
+        self.words.update((w, row.get(w, 0)) for w in unknown if len(w) <= PIECE)
+        long = {w: [row[p] for p in pieces(w) if p in row] for w in unknown if len(w) > PIECE}
+        if long:
+            table = np.concatenate(self.rows)
+            row = {w: k + self.size for k, w in enumerate(long)}
+            self.add(np.stack([table[at or [0]].max(0) for at in long.values()]))
+        self.of.update((t, self.words[w] if w in self.words else row[w]) for t, w in words.items())
+
+    def add(self, rows: np.ndarray) -> None:
+        self.rows.append(rows)
+        self.size += len(rows)
 
     def pool(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         lists = [tokens(t) if t else [] for t in texts]
