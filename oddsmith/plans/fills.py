@@ -100,19 +100,28 @@ def game_catalog(spark, d):
     return m.groupBy("event_ticker", "sport").agg(F.concat_ws(" / ", F.array_sort(F.collect_set("outcome"))).alias("outcomes"), F.count_distinct("ticker").alias("market_count"))
 
 
-def estimate(snapshots: DataFrame, clv: float, price: float, time: float, bid: float, tolerances: tuple[float, float, float], exclude_event: str | None = None) -> DataFrame:
+def estimate(snapshots: DataFrame, clv: float, price: float, time: float, bid: float, tolerances: tuple[float, float, float], exclude_event: str | None = None, min_events: int = 20) -> DataFrame:
     """One row: the share of bids that later prints reach, conservatively (below the bid) and optimistically (at or below).
 
-    snapshots: event_ticker, clv, current_price, normalized_time, future_min_cents (null: no later print).
-    States within the tolerances of the point are averaged by event first, so that each event counts once.
+    snapshots: ticker, event_ticker, clv, current_price, normalized_time, future_min_cents (null: no later print).
+    States within the tolerances of the point whose price is above the bid are averaged by event first, so that each
+    event counts once. Fewer events than min_events give no rates; at time 1 no bid is reached, whatever the states.
     """
     near = snapshots if exclude_event is None else snapshots.where(F.col("event_ticker") != exclude_event)
     for column, at, tolerance in (("clv", clv, tolerances[0]), ("current_price", price, tolerances[1]), ("normalized_time", time, tolerances[2])):
         near = near.where(F.abs(F.col(column) - at) <= tolerance + 1e-12)
+    near = near.where((F.col("current_price") > bid) & F.lit(time != 1))
     low, cents = F.col("future_min_cents"), round(bid * 100, 9)
-    hit = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    events = near.groupBy("event_ticker").agg(hit(low < cents).alias("c"), hit(low <= cents).alias("o"), F.count("*").alias("n"))
-    return events.agg(F.avg("c").alias("conservative"), F.avg("o").alias("optimistic"), (F.avg("o") - F.avg("c")).alias("gap"), F.count("*").alias("events"), F.coalesce(F.sum("n"), F.lit(0)).alias("states"))
+    by_ticker = near.groupBy("event_ticker", "ticker").agg(*(F.count_if(c).alias(n) for n, c in (("c", low < cents), ("o", low <= cents))), F.count("*").alias("n"))
+    events = by_ticker.groupBy("event_ticker").agg(*((F.sum(n) / F.sum("n")).alias(n) for n in ("c", "o")), F.sum("n").alias("n"), F.count("*").alias("tickers"))
+    out = events.agg(F.avg("c").alias("c"), F.avg("o").alias("o"), F.count("*").alias("events"), *(F.coalesce(F.sum(x), F.lit(0)).alias(y) for x, y in (("tickers", "tickers"), ("n", "states"))))
+    if time == 1:
+        rates, status = [F.lit(0.0)] * 3, F.lit("horizon_ended")
+    else:
+        enough = F.col("events") >= min_events
+        rates = [F.when(enough, x) for x in (F.col("c"), F.col("o"), F.col("o") - F.col("c"))]
+        status = F.when(enough, "ok").otherwise("insufficient_support")
+    return out.select(*(r.alias(n) for r, n in zip(rates, ("conservative", "optimistic", "gap"), strict=True)), "events", "tickers", "states", status.alias("status"))
 
 
 def snapshots(prints: DataFrame, games: DataFrame, step: float = 0.05, max_age_hours: float | None = None) -> DataFrame:
@@ -152,14 +161,20 @@ def fill_snapshots(spark, d):
     return s.withColumn("price_age_seconds", _r(F.col("price_age_seconds"), 6)).withColumn("k", F.rint(F.col("normalized_time") * 20).cast("long")).drop("normalized_time")
 
 
+#: Events that the query's estimate needs.
+LEAST_EVENTS = 20
+
+
 @analysis(
-    """SELECT round(avg(c), 9) AS conservative, round(avg(o), 9) AS optimistic, round(avg(o) - avg(c), 9) AS gap, count(*) AS events, coalesce(sum(n), 0)::BIGINT AS states FROM (SELECT event_ticker, avg(CASE WHEN future_min_cents < 20 THEN 1.0::DOUBLE ELSE 0 END) AS c, avg(CASE WHEN future_min_cents <= 20 THEN 1.0::DOUBLE ELSE 0 END) AS o, count(*) AS n
-FROM snap WHERE current_price IS NOT NULL AND abs(clv - 0.5) <= 0.3 + 1e-12 AND abs(current_price - 0.5) <= 0.3 + 1e-12 AND abs(k * 0.05 - 0.25) <= 0.2 + 1e-12 AND event_ticker <> 'KXNFLGAME-1' GROUP BY event_ticker)""",
+    f"""SELECT CASE WHEN e >= {LEAST_EVENTS} THEN round(c, 9) END AS conservative, CASE WHEN e >= {LEAST_EVENTS} THEN round(o, 9) END AS optimistic, CASE WHEN e >= {LEAST_EVENTS} THEN round(o - c, 9) END AS gap,
+e AS events, coalesce(tickers, 0)::BIGINT AS tickers, coalesce(states, 0)::BIGINT AS states, CASE WHEN e >= {LEAST_EVENTS} THEN 'ok' ELSE 'insufficient_support' END AS status
+FROM (SELECT avg(c) AS c, avg(o) AS o, count(*) AS e, sum(tickers) AS tickers, sum(n) AS states FROM (SELECT event_ticker, avg(CASE WHEN future_min_cents < 20 THEN 1.0::DOUBLE ELSE 0 END) AS c, avg(CASE WHEN future_min_cents <= 20 THEN 1.0::DOUBLE ELSE 0 END) AS o, count(*) AS n, count(DISTINCT ticker) AS tickers
+FROM snap WHERE current_price IS NOT NULL AND abs(clv - 0.5) <= 0.3 + 1e-12 AND abs(current_price - 0.5) <= 0.3 + 1e-12 AND current_price > 0.2 AND abs(k * 0.05 - 0.25) <= 0.2 + 1e-12 AND event_ticker <> 'KXNFLGAME-1' GROUP BY event_ticker))""",
     "prints",
     "games",
     _SNAP_SQL,
 )
 def fill_estimate(spark, d):
     s = snapshots(src.prints(spark, d), src.games(spark, d), 0.05, MAX_AGE)
-    out = estimate(s, 0.5, 0.5, 0.25, 0.20, (0.3, 0.3, 0.2), "KXNFLGAME-1")
-    return out.select(*(_r(F.col(c)).alias(c) for c in ("conservative", "optimistic", "gap")), "events", "states")
+    out = estimate(s, 0.5, 0.5, 0.25, 0.20, (0.3, 0.3, 0.2), "KXNFLGAME-1", LEAST_EVENTS)
+    return out.select(*(_r(F.col(c)).alias(c) for c in ("conservative", "optimistic", "gap")), "events", "tickers", "states", "status")

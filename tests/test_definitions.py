@@ -31,9 +31,14 @@ def test_snapshots(spark):
 @pytest.mark.parametrize(("bid", "want"), [(0.49, (0, 1, 1)), (0.50, (1, 1, 0)), (0.48, (0, 0, 0))])
 def test_estimate(spark, bid, want):
     s = fills.snapshots(prints(spark), games(spark), 0.25)
-    r = fills.estimate(s, 0.6, 0.7, 0.0, bid, (0, 0, 0)).first()
+    r = fills.estimate(s, 0.6, 0.7, 0.0, bid, (0, 0, 0), min_events=1).first()
     assert (r.conservative, r.optimistic, r.gap, r.events, r.states) == (*want, 1, 1)
     assert fills.estimate(s, 0.6, 0.7, 0.0, bid, (0, 0, 0), "KXNFLGAME-1").first().events == 0
+    few = fills.estimate(s, 0.6, 0.7, 0.0, bid, (0, 0, 0), min_events=2).first()
+    assert (few.conservative, few.events, few.status) == (None, 1, "insufficient_support")
+    assert fills.estimate(s, 0.6, 0.7, 0.0, 0.7, (0, 0, 0), min_events=1).first().events == 0  # not below the price
+    over = fills.estimate(s, 0.6, 0.7, 1, bid, (0, 0, 1), min_events=1).first()
+    assert (over.optimistic, over.events, over.status) == (0.0, 0, "horizon_ended")
 
 
 @pytest.mark.parametrize(
