@@ -23,9 +23,16 @@ LENGTH bytes that hold it. So
 Spans are united per document and cut out. Equality of anchors and contexts is
 judged by 128 bits of hashes.
 
+One context may be that of several anchors: in a text whose start repeats itself
+they differ in their ends or in the anchor's place only. So occurrences, and the
+earliest of equal contexts, are told apart by the anchor's place as well.
+
 Null text: empty. Null id: larger than all others. Rows that repeat an id are
-taken as the same document. Texts of any length are handled, in segments of
-SEGMENT bytes. Other columns are ignored; an empty table gives no rows.
+taken as the same document: of their strings those that start earlier in either
+text come first, and at equal places neither. What is cut is each text's own (by
+`tag`, 64 bits of a hash of the text; 0 for an id of one row). Texts of any length
+are handled, in segments of SEGMENT bytes. Other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +57,11 @@ _REACH = LENGTH - K  # an anchor's distance from the start of a string that hold
 _random = np.random.default_rng(20)
 _VALUE = _random.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_NO_ID = (1 << 63) - 1
+_LAST_ID = (1 << 63) - 1
+#: Texts are shorter than that: places of a null id lie behind it, after those of the largest id.
+_LATE = 1 << 31
+#: Ids of several rows that are broadcast at most; with more of them, all rows get a tag.
+_TAGGED = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -154,13 +165,18 @@ def _occurrences(sent, by_context: bool, with_bytes: bool):
                 if not len(f.pos):
                     continue
                 at = np.flatnonzero(marked(sent.value, f.context if by_context else f.hash))
-                columns = [_signed(f.hash[at]), _signed(f.context[at]), batch.column(0).take(pa.array(f.row[at])), pa.array(f.lo[at] + f.shift[at]), pa.array(f.hi[at] + f.shift[at])]
-                names = ["h", "c", "id", "lo", "hi"]
+                row = f.row[at]
+                shift = f.shift[at] + np.asarray(batch.column(3))[row]
+                columns = [_signed(f.hash[at]), _signed(f.context[at]), *(batch.column(j).take(pa.array(row)) for j in (0, 2)), pa.array(f.lo[at] + shift)]
+                names = ["h", "c", "id", "tag", "lo"]
                 if with_bytes:
                     data = f.data.tobytes()
                     columns += [pa.array((f.pos - f.lo)[at])]
                     columns.append(pa.array([data[a:b] for a, b in zip(f.lo[at].tolist(), f.hi[at].tolist(), strict=True)], pa.binary()))
                     names += ["at", "bytes"]
+                else:
+                    columns.append(pa.array(f.hi[at] + shift))
+                    names.append("hi")
                 if len(at):
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -258,7 +274,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for r in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
+        for r in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
             if held and r[0] != held[-1][0] and size >= 400_000:
                 yield from _spans(held)
                 held, size = [], 0
@@ -278,27 +294,27 @@ def _spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     last = at[np.r_[at[1:] != at[:-1] + 1, True]]
     owner = np.searchsorted(starts, first, "right") - 1
     shift = np.array([r[2] for r in rows], np.int64)[owner] - starts[owner]
-    ids = pa.array([rows[i][1] for i in owner.tolist()], pa.int64())
-    yield pa.RecordBatch.from_arrays([ids, pa.array(first + shift), pa.array(last + shift + LENGTH)], names=["id", "lo", "hi"])
+    ids, tags = (pa.array([rows[i][j] for i in owner.tolist()], pa.int64()) for j in (1, 4))
+    yield pa.RecordBatch.from_arrays([ids, tags, pa.array(first + shift), pa.array(last + shift + LENGTH)], names=["id", "tag", "lo", "hi"])
 
 
-def _hashed(ids: np.ndarray, los: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Two hashes, id and place of each string of LENGTH bytes of the contexts."""
+def _hashed(ids: np.ndarray, los: np.ndarray, contexts: list[bytes], tags: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Two hashes, id, tag and place of each string of LENGTH bytes of the contexts."""
     sizes = np.array([len(c) for c in contexts])
     data = np.frombuffer(b"".join(contexts), np.uint8)
     n = sizes - LENGTH + 1
     owner = np.repeat(np.arange(len(n)), n)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     start = (np.cumsum(sizes) - sizes)[owner] + inner
-    return *(Hashes(data, w).of(start, start + LENGTH).view(np.int64) for w in (0, 1)), ids[owner], los[owner] + inner
+    return *(Hashes(data, w).of(start, start + LENGTH).view(np.int64) for w in (0, 1)), ids[owner], tags[owner], los[owner] + inner
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, id, lo): hashes of each string of LENGTH bytes of each context."""
+    """(a, b, id, tag, lo): hashes of each string of LENGTH bytes of each context."""
     for batch in batches:
         for part in range(0, batch.num_rows, 2000):
             rows = batch.slice(part, 2000)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, _hashed(np.asarray(rows.column(1)), np.asarray(rows.column(2)), rows.column(3).to_pylist()))], names=["a", "b", "id", "lo"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _hashed(np.asarray(rows.column(1)), np.asarray(rows.column(2)), rows.column(3).to_pylist(), np.asarray(rows.column(4))))], names=["a", "b", "id", "tag", "lo"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +328,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep, at, gone = [], 0, []
             if spans.is_valid:
                 pairs = np.stack([np.asarray(spans.values.field(j)) for j in (0, 1)], 1)
-                pairs = np.minimum(pairs[np.lexsort(pairs.T[::-1])], len(data))
+                pairs = pairs[np.lexsort(pairs.T[::-1])] & _LATE - 1
                 reach = np.maximum.accumulate(pairs[:, 1])
                 new = np.r_[True, pairs[1:, 0] > reach[:-1]]
                 first = np.flatnonzero(new)
@@ -341,53 +357,66 @@ def _around() -> F.Column:
 
 
 def _in_company(texts: DataFrame, bits: int) -> DataFrame:
-    """The contexts (h, id, lo, bytes) of which another has one of the strings of STEPS; a few others may stay."""
+    """The contexts (h, id, lo, bytes, tag) of which another has one of the strings of STEPS; a few others may stay."""
     keyed = texts.withColumn("keys", _around())
     shared = keyed.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     sent = bitmap(shared, "k", bits)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(4)
+            lists = batch.column(5)
             owner = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
             some = np.unique(owner[marked(sent.value, np.asarray(lists.flatten()))])
-            yield batch.select([0, 1, 2, 3]).take(pa.array(some))
+            yield batch.select(range(5)).take(pa.array(some))
 
-    return keyed.select("h", "id", "lo", "bytes", "keys").mapInArrow(find, "h long, id long, lo long, bytes binary")
+    return keyed.select("h", "id", "lo", "bytes", "tag", "keys").mapInArrow(find, "h long, id long, lo long, bytes binary, tag long")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
-    """(id, spans): overlapping and touching spans (id, lo, hi) are made one before they are gathered."""
-    order = Window.partitionBy("id").orderBy("lo", "hi")
+    """(id, tag, spans): overlapping and touching spans (id, tag, lo, hi) are made one before they are gathered."""
+    order = Window.partitionBy("id", "tag").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.when(F.col("lo") > F.coalesce(reach, F.lit(-1)), 1).otherwise(0))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("id", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return runs.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    runs = runs.groupBy("id", "tag", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return runs.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text, tag, late, own) of each row; own: the id as it is."""
+    own = F.col(key).cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(_LAST_ID)).alias("id"), F.col(text).alias("text"), F.when(own.isNull(), F.lit(_LATE)).otherwise(F.lit(0)).cast("long").alias("late"), own.alias("own"))
+    twice = written(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("twice")), "repeated-ids")
+    tag = F.xxhash64("text", "late")
+    if twice.count() <= _TAGGED:
+        rows = rows.join(F.broadcast(twice), "id", "left")
+        tag = F.when(F.col("twice"), tag).otherwise(F.lit(0))
+    return rows.select("id", "text", tag.cast("long").alias("tag"), "late", "own")
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", bits: int = 27) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row; kept: the remaining bytes."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text).alias("text"))
-    counted = rows.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.lit(0), F.col(text)).mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     shared = written(counted.where("n > 1").select("h"), "anchors")
-    found = rows.mapInArrow(_occurrences(bitmap(shared, "h", bits), False, False), "h long, c long, id long, lo long, hi long")
+    rows = _rows(docs, key, text)
+    place = rows.drop("own")
+    found = place.mapInArrow(_occurrences(bitmap(shared, "h", bits), False, False), "h long, c long, id long, tag long, lo long, hi long")
     seen = written(found.join(shared, "h", "left_semi"), "occurrences")
     first = seen.groupBy("h", "c").agg(F.min(F.struct("id", "lo")).alias("first"))
-    whole = seen.join(first, ["h", "c"]).where((F.col("id") != F.col("first.id")) | (F.col("lo") != F.col("first.lo"))).select("id", "lo", "hi")
+    spans = ["id", "tag", "lo", "hi"]
+    whole = seen.join(first, ["h", "c"]).where((F.col("id") != F.col("first.id")) | (F.col("lo") != F.col("first.lo"))).select(spans)
     several = first.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
     reps = written(first.join(several, "h").select("h", "c", F.col("first.id").alias("id"), F.col("first.lo").alias("lo")), "contexts")
-    withbytes = rows.mapInArrow(_occurrences(bitmap(reps, "c", bits), True, True), "h long, c long, id long, lo long, hi long, at long, bytes binary")
-    texts = withbytes.drop("hi").join(reps, ["h", "c", "id", "lo"], "left_semi").drop("c").dropDuplicates(["h", "id", "lo"])
+    withbytes = place.mapInArrow(_occurrences(bitmap(reps, "c", bits), True, True), "h long, c long, id long, tag long, lo long, at long, bytes binary")
+    texts = withbytes.join(reps, ["h", "c", "id", "lo"], "left_semi").dropDuplicates(["h", "c", "id", "tag", "lo", "at"]).drop("c")
     texts = written(_in_company(written(texts, "texts"), bits), "company")
     sizes = texts.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
     sized = texts.join(sizes, "h")
-    spans = "id long, lo long, hi long"
-    parts = sized.where(F.col("contexts") <= INDEXED).drop("contexts").repartition("h").sortWithinPartitions("h", "id", "lo").mapInArrow(_index, spans)
-    hot = sized.where(F.col("contexts") > INDEXED).drop("contexts").mapInArrow(_strings, "a long, b long, id long, lo long")
+    parts = sized.where(F.col("contexts") <= INDEXED).drop("contexts").repartition("h").sortWithinPartitions("h", "id", "lo").mapInArrow(_index, "id long, tag long, lo long, hi long")
+    hot = sized.where(F.col("contexts") > INDEXED).drop("contexts").mapInArrow(_strings, "a long, b long, id long, tag long, lo long")
     earliest = hot.groupBy("a", "b").agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = hot.join(earliest, ["a", "b"]).where((F.col("id") != F.col("first.id")) | (F.col("lo") != F.col("first.lo")))
-    again = again.select("id", "lo", (F.col("lo") + LENGTH).alias("hi"))
+    again = again.withColumn("hi", F.col("lo") + LENGTH).select(spans)
     gone = _merged(whole.unionByName(parts).unionByName(again))
-    cut = rows.join(gone, "id", "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return cut.withColumn("id", F.nullif("id", F.lit(_NO_ID))).withColumnRenamed("id", key)
+    cut = rows.join(gone, ["id", "tag"], "left").select("own", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return cut.withColumnRenamed("id", key)
