@@ -337,7 +337,9 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, pct: int = 80) -> DataFrame:
     """The rows of docs but near copies: of each component, that with the smallest id; rows that repeat id and text stay once."""
     found = join(docs, key=key, text=text, size=size, pct=pct)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    once = Window.partitionBy(key, "__text").orderBy("__text")
-    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi").withColumn("__text", F.xxhash64(text))
-    return rows.withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row", "__text")
+    # the semi-join and the window share one shuffle of the texts: its keys are among the window's
+    id = [F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("__id"), F.col(key).isNull().alias("__no_id")]
+    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(*id).distinct()
+    rows = docs.select("*", *id, F.xxhash64(text).alias("__text")).join(kept, ["__id", "__no_id"], "left_semi")
+    once = Window.partitionBy("__id", "__no_id", "__text").orderBy("__text")
+    return rows.withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row", "__text", "__id", "__no_id")
